@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, licenses
+from rasterloom.llm import chat, licenses, repeats
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 ORACLES = {
