@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, licenses, repeats
+from rasterloom.llm import chat, hyperminhash, licenses, repeats
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_near_duplicates": hyperminhash.op2_near_duplicates,
     "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
+    "op2_near_duplicates": hyperminhash.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
 }
