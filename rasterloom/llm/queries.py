@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, hyperminhash, licenses, repeats
+from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, repeats
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_near_duplicates": hyperminhash.op2_near_duplicates,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
     "op2_near_duplicates": hyperminhash.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
 }
