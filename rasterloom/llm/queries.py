@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, repeats
+from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, quality, repeats
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_line_dedup": linededup.op7_line_dedup,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
