@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, task_rows: int = TASK_RO
     kinds = "doc_id long, text_key long"
     rows = saved(d.mapInArrow(_anchors(width), f"{kinds}, a long, f long, p long, first long, last long"), "anchors")
     twice = saved(rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-twice")
-    rows = saved(rows.join(narrow(twice), "a", "left_semi"), "anchors-rows")
+    rows = saved(rows.join(twice, "a", "left_semi"), "anchors-rows")
     classes = rows.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "p", "first", "last")).alias("r"))
     classes = saved(classes, "anchors-classes")
     whole = rows.join(classes.where("n > 1").select("a", "f"), ["a", "f"]).select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("last") + width).alias("hi"))
