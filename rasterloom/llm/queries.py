@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, quality, repeats
+from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, pii, quality, repeats, wfst
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_sentencepiece": wfst.op10_sentencepiece,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
