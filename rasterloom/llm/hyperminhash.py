@@ -7,8 +7,8 @@ estimates their Jaccard index, and what the estimate leaves is verified on the f
 
 Work in a band's group goes in rounds, so that large groups of near copies don't make all their pairs:
 1. texts with equal sets are one node; 2. each node is verified against the least node of its bands with which
-it shares most bands; 3. in groups that hold several components still, blocks of registers are compared inside
-tasks and only pairs of different components come out: first the best two for each node, then all the rest.
+it shares most bands; 3. in groups that hold several components still, the full sets of blocks of nodes are
+compared inside tasks, and only links that join two components come out.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BUCKETS = BANDS * ROWS
 THRESHOLD = 75
 #: Candidates with a lower estimate aren't verified; 4.5 standard errors of the estimate below the threshold.
 LEAST_ESTIMATE = 0.61
-#: Registers of so many nodes are compared with one another in a task.
+#: The sets of about so many nodes are compared with one another in a task.
 BLOCK = 512
 #: Bytes of text that are shingled at once (or one text).
 SLICE = 1 << 20
@@ -151,41 +151,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").take(ids), batch.column("v").take(ids)], names=["u", "v"])
 
 
-def _block_pairs(best: int):
-    """Pairs of different components in a block with estimates that may be links; best: so many for each node, 0: all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "left", "right"], 1024):
-            columns = [table.column(k).to_numpy() for k in ("key", "left", "right", "own", "node", "component", "n")]
-            key, left, right, own, node, comp, n = columns
-            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-            us, vs = [], []
-            for i, j in zip(new, [*new[1:], len(key)], strict=True):
-                a = np.arange(i, j)[own[i:j] == left[i]]
-                b = a if left[i] == right[i] else np.arange(i, j)[own[i:j] == right[i]]
-                if not len(a) or not len(b):
-                    continue
-                equal = np.zeros((len(a), len(b)), np.uint16)
-                for k in range(BUCKETS):
-                    equal += regs[a, k][:, None] == regs[b, k][None, :]
-                est = estimate(equal / BUCKETS, n[a][:, None], n[b][None, :])
-                est[(comp[a][:, None] == comp[b][None, :]) | (est < LEAST_ESTIMATE)] = 0
-                pick = est > 0
-                if best:
-                    few = np.zeros_like(pick)
-                    for axis in (0, 1):
-                        order = np.argsort(-est, axis=axis, kind="stable")
-                        np.put_along_axis(few, np.take(order, range(min(best, est.shape[axis])), axis=axis), True, axis=axis)
-                    pick &= few
-                x, y = np.nonzero(pick)
-                us.append(np.minimum(node[a[x]], node[b[y]]))
-                vs.append(np.maximum(node[a[x]], node[b[y]]))
-            if us:
-                pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-    return run
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets (sorted arrays of distinct hashes)."""
+    n = len(sets)
+    every = np.concatenate(sets)
+    of = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    which = np.cumsum(new) - 1
+    twice = np.bincount(which)[which] > 1 if len(every) else new
+    _, column = np.unique(which[twice], return_inverse=True)
+    of = of[twice]
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[of[i:j], column[i:j] - low] = 1
+        out += held @ held.T  # counts below 2^24 are exact
+    return out.astype(np.int64)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components among the nodes of two blocks of a band: just enough to join them."""
+    for table in whole_groups(batches, ["key", "left", "right"], 256):
+        key, left, right, own, node, comp = (table.column(k).to_numpy() for k in ("key", "left", "right", "own", "node", "component"))
+        data, at = binary_parts(table.column("hashes"))
+        sets = [data[i:j].view(np.uint64) for i, j in zip(at[:-1], at[1:], strict=True)]
+        size = np.diff(at) // 8
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        us, vs = [], []
+        for i, j in zip(new, [*new[1:], len(key)], strict=True):
+            common = common_counts(sets[i:j])
+            n, c = size[i:j], comp[i:j]
+            link = (100 * common >= THRESHOLD * (n[:, None] + n[None, :] - common)) & (c[:, None] < c[None, :])
+            if left[i] != right[i]:
+                link &= own[i:j, None] != own[None, i:j]
+            x, y = np.nonzero(link)
+            _, first = np.unique(np.stack([c[x], c[y]]), axis=1, return_index=True)
+            parent: dict[int, int] = {}
+            for a, b in zip(x[first], y[first], strict=True):
+                ends = []
+                for k in (int(c[a]), int(c[b])):
+                    while parent.get(k, k) != k:
+                        k = parent[k]
+                    ends.append(k)
+                if ends[0] != ends[1]:
+                    parent[ends[1]] = ends[0]
+                    us.append(node[i + a])
+                    vs.append(node[i + b])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -218,20 +233,18 @@ def duplicates(docs: DataFrame) -> DataFrame:
     hubs = hubs.groupBy("node").agg(F.min(F.struct(-F.col("bands"), "hub")).alias("h")).select(F.col("h.hub").alias("u"), F.col("node").alias("v"))
     tried = saved(hubs, "pairs")
     links = verified(tried)
-    for best in (2, 0):
-        found = components(links)
-        open_ = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = saved(open_, "open")
-        groups = open_.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-        # Bands with the same nodes are looked at once.
-        groups = saved(groups.groupBy("size", "who").agg(F.min("key").alias("key")), "open-groups")
-        rows = open_.join(groups, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = rows.withColumn("own", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "component").join(nodes, "node")
-        pairs = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_block_pairs(best), "u long, v long").distinct()
-        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        links = links.union(verified(pairs))
+    open_ = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = saved(open_, "open")
+    groups = open_.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("u"), F.max("node").alias("v")).where("a < b")
+    # Bands with the same nodes are looked at once; a pair that was verified already isn't again.
+    groups = groups.groupBy("size", "who").agg(F.min("key").alias("key"), F.min("u").alias("u"), F.max("v").alias("v"))
+    tried = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(2).cast("long").alias("size"))
+    groups = saved(groups.join(tried, ["u", "v", "size"], "left_anti").select("key", "size"), "open-groups")
+    rows = open_.join(groups, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "component").join(full.select("node", "hashes"), "node")
+    more = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_block_links, "u long, v long").distinct()
+    links = links.union(saved(more, "links"))
     found = components(links)
     classes = saved(same.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")), "classes")
     out = sketches.withColumn("known", F.when(F.col("n").__gt__(0) & F.col("doc_id").isNotNull(), True)).join(classes.withColumn("known", F.lit(True)), ["d1", "d2", "known"], "left")
