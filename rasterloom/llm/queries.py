@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, pii, quality, repeats, wfst
+from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, nndescent, pii, quality, repeats, wfst
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_near_duplicates": hyperminhash.op2_near_duplicates,
+    "op3_nearest_neighbours": nndescent.op3_nearest_neighbours,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_repeated_substrings": repeats.op5_repeated_substrings,
     "op6_chat_formatting": chat.op6_chat_formatting,
