@@ -1,0 +1,99 @@
+"""Tiles: planning, feather weights and overlap-add. A tile is a row; pixels are sent to the tiles that hold them."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def axis_ranges(df: DataFrame, total: str, tile: str, overlap: str) -> DataFrame:
+    """Adds (k, start, end): the overlapping windows that cover 0..total; the last is moved back to end at total."""
+    n, t = F.col(total), F.col(tile)
+    o = F.least(F.col(overlap), F.floor(t / 2).cast("int"))
+    stride = F.greatest(F.lit(1), t - 2 * o)
+    one = (t <= 0) | (t >= n)
+    last = F.when(one, 0).otherwise(F.ceil((n - t) / stride).cast("int"))
+    d = df.withColumn("__stride", F.when(one, 1).otherwise(stride)).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    end = F.when(one, n).otherwise(F.least(F.col("k") * F.col("__stride") + t, n))
+    return d.withColumns({"end": end, "start": F.when(one, 0).otherwise(F.greatest(F.lit(0), end - t))}).drop("__stride")
+
+
+def plan_tiles(images: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """(image_id, h, w, ty, tx, y0, y1, x0, x1) for images (image_id, h, w), rows first."""
+    d = images.withColumns({"__t": F.lit(tile), "__o": F.lit(overlap)})
+    d = axis_ranges(d, "h", "__t", "__o").withColumnsRenamed({"k": "ty", "start": "y0", "end": "y1"})
+    d = axis_ranges(d, "w", "__t", "__o").withColumnsRenamed({"k": "tx", "start": "x0", "end": "x1"})
+    return d.drop("__t", "__o")
+
+
+def should_tile(h: Column, w: Column, tile: Column) -> Column:
+    return (tile > 0) & (tile < F.greatest(h, w))
+
+
+def feather(at: Column, start: Column, end: Column, total: Column, overlap: Column) -> Column:
+    """Weight of place at (in the image) in a tile: a half cosine over the overlap on sides that aren't the image's edge."""
+    length, k = end - start, at - start
+    n = F.least(overlap, F.floor(length / 2))
+    ramp = lambda i: 0.5 - 0.5 * F.cos(F.lit(math.pi) * (i + 0.5) / n)
+    rise = F.when((n > 1) & (start > 0) & (k < n), ramp(k)).otherwise(1.0)
+    fall = F.when((n > 1) & (end < total) & (length - 1 - k < n), ramp(length - 1 - k)).otherwise(1.0)
+    return rise * fall
+
+
+def cut(px: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pixels of each tile: px joined with the tiles of its image that hold the pixel."""
+    t = tiles.select("image_id", "ty", "tx", "y0", "y1", "x0", "x1")
+    d = px.join(t, "image_id")
+    return d.where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+
+
+def cut_fixed(px: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """As cut, for tiles of one size: the tiles that hold a pixel follow from its place, so nothing is joined or shuffled."""
+    o = min(overlap, tile // 2)
+    stride = max(1, tile - 2 * o)
+    d = px
+    for at, size, k, lo, hi in (("y", "h", "ty", "y0", "y1"), ("x", "w", "tx", "x0", "x1")):
+        n = F.col(size)
+        if tile <= 0:
+            d = d.withColumns({k: F.lit(0), lo: F.lit(0), hi: n})
+            continue
+        last = F.greatest(F.lit(0), F.ceil((n - tile) / F.lit(stride)).cast("int"))
+        first = F.greatest(F.lit(0), F.ceil((F.col(at) - tile + 1) / F.lit(stride)).cast("int"))
+        near = F.sequence(F.least(first, last), F.least(last, F.greatest(F.least(first, last), F.floor(F.col(at) / F.lit(stride)).cast("int"))))
+        # The last tile is moved back, so it may hold the pixel too.
+        d = d.withColumn(k, F.explode(F.array_distinct(F.concat(near, F.array(last)))))
+        end = F.least(F.col(k) * stride + tile, n)
+        d = d.withColumns({hi: end, lo: F.greatest(F.lit(0), end - tile)}).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi)))
+    return d
+
+
+def blend(tiles: DataFrame, values: list[str], overlap: int, scale: int = 1) -> DataFrame:
+    """Overlap-add: the weighted mean of what the tiles say of each pixel, summed before the shuffle."""
+    s = F.lit(scale)
+    o = F.lit(overlap * scale)
+    w = feather(F.col("y"), F.col("y0") * s, F.col("y1") * s, F.col("h"), o) * feather(F.col("x"), F.col("x0") * s, F.col("x1") * s, F.col("w"), o)
+    d = tiles.withColumn("__w", w).groupBy("image_id", "h", "w", "y", "x").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in values), F.sum("__w").alias("__t"))
+    return d.select("image_id", "h", "w", "y", "x", *((F.col(c) / F.greatest(F.col("__t"), F.lit(1e-6))).alias(c) for c in values))
+
+
+def reflect_pad(px: DataFrame, pad: int) -> DataFrame:
+    """Mirrors pad pixels (less one than the shorter side at most) at each edge, without repeating the edge itself."""
+    p = F.least(F.lit(pad), F.greatest(F.lit(1), F.least("h", "w") - 1))
+    d = px.withColumn("__p", p)
+    for at, size in (("y", "h"), ("x", "w")):
+        i, n, q = F.col(at), F.col(size), F.col("__p")
+        places = F.array_compact(F.array(i, F.when((i >= 1) & (i <= q), -i), F.when((i <= n - 2) & (i >= n - 1 - q), 2 * (n - 1) - i)))
+        d = d.withColumn("__at", F.explode(F.array_distinct(places))).withColumn(at, F.col("__at") + F.col("__p")).drop("__at")
+    return d.withColumns({"h": F.col("h") + 2 * F.col("__p"), "w": F.col("w") + 2 * F.col("__p")}).drop("__p")
+
+
+def crop(px: DataFrame, pad: Column, h: Column, w: Column) -> DataFrame:
+    inside = (F.col("y") >= pad) & (F.col("y") < pad + h) & (F.col("x") >= pad) & (F.col("x") < pad + w)
+    return px.where(inside).withColumns({"y": (F.col("y") - pad).cast("int"), "x": (F.col("x") - pad).cast("int"), "h": h, "w": w})
+
+
+def stats(tiles: DataFrame) -> DataFrame:
+    """(image_id, tiles, max_tile_px)."""
+    return tiles.groupBy("image_id").agg(F.count("*").alias("tiles"), F.max((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("max_tile_px"))

@@ -1 +1 @@
-
+"""Pipelines and the registered queries."""
