@@ -202,5 +202,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     out = personal_data(d).drop("text")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))

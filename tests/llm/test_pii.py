@@ -53,3 +53,17 @@ def test_documents(spark):
     assert [tuple(s) for s in rows[1].base] == [("email", 0, 6)] and rows[None].spans == [] and rows[3].base == []
     assert [tuple(s) for s in rows[4].spans] == [("email", 500_001, 500_007)]
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    from rasterloom.llm.queries import QUERIES
+
+    texts = {1: "a@b.cd and 1.2.3.4", 2: None, 3: "", 4: "x +49 170 1234567 4111111111111111", 5: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import hashlib
+
+    for r in QUERIES["op8_personal_data"](spark, str(tmp_path)).collect():
+        want = brute(texts[r.doc_id] or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans == told
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in BASE]
