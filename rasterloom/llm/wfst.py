@@ -4,8 +4,8 @@ The normaliser (space to U+2581, one put before the text), the pieces and the by
 arcs. The model merges pairs by score, and the least sum of scores isn't its segmentation; so the arcs are
 composed with an acceptor of neighbouring pieces: a piece may follow another only if the merges of the two
 texts end in just those two pieces. A path of such arcs is the model's own segmentation: the first merge that crossed a
-border between two pieces would cross it in the text of these two alone too. Among accepted paths the one of
-least weight (tropical semiring: weights add along a path, and the least counts) is taken; there is one only.
+border between two pieces would cross it in the text of these two alone too. The shortest path in the tropical
+semiring is taken; as the acceptor leaves one path to each place, that is the accepted path.
 
 No piece holds U+2581 after another character, so texts fall into parts U+2581+ other*, each composed by itself.
 """
@@ -26,7 +26,7 @@ from rasterloom.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of the caches of parts and of neighbours; they are emptied when full.
-PARTS, NEIGHBOURS = 400_000, 1_000_000
+PARTS, NEIGHBOURS = 800_000, 500_000
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -39,10 +39,14 @@ class Transducer:
         self.score = {p: s for p, s, _ in pieces}
         self.ids = {p: i for p, _, i in pieces}
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(bytes_)}
-        self.longest: dict[str, int] = {}
+        #: Lengths of the pieces of three characters and more by their first three, the longest first.
+        lengths: dict[str, set[int]] = {}
         for p, _, _ in pieces:
-            self.longest[p[:2]] = max(self.longest.get(p[:2], 1), len(p))
+            if len(p) > 2:
+                lengths.setdefault(p[:3], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) + (2, 1) for k, v in lengths.items()}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.merges: dict[str, tuple[list, list, list, bool]] = {}
         self.parts = _Parts(self)
 
     @classmethod
@@ -59,48 +63,82 @@ class Transducer:
     def __reduce__(self):
         return Transducer, (self.pieces, self.bytes)
 
-    def merged(self, text: str) -> list[str]:
-        """What the model's merges make of a short text: again and again the best-scored neighbours, the leftmost first."""
-        s = list(text)
-        while len(s) > 1:
-            best = max(((self.score.get(a + b), -i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
-                return s
-            i = -best[1]
-            s[i : i + 2] = [s[i] + s[i + 1]]
-        return s
+    def merges_of(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
+        """The merges that make a piece of its characters: their scores, the first and last parts before and after each, and whether one part is left.
+
+        Again and again the best-scored neighbours are merged, the leftmost first.
+        """
+        if piece not in self.merges:
+            s, scores = list(piece), []
+            first, last = [s[0]], [s[-1]]
+            while len(s) > 1:
+                best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in self.score), default=None)
+                if best is None:
+                    break
+                i = -best[1]
+                s[i : i + 2] = [s[i] + s[i + 1]]
+                scores.append(best[0])
+                first.append(s[0])
+                last.append(s[-1])
+            if len(self.merges) >= NEIGHBOURS:
+                self.merges.clear()
+            self.merges[piece] = scores, first, last, len(s) == 1
+        return self.merges[piece]
 
     def may_follow(self, a: str, b: str) -> bool:
+        """Whether the merges of the text a + b end in the pieces a and b: both are made, and no merge across their border comes first."""
         k = (a, b)
-        if k not in self.follows:
+        found = self.follows.get(k)
+        if found is None:
             if len(self.follows) >= NEIGHBOURS:
                 self.follows.clear()
-            self.follows[k] = self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
-        return self.follows[k]
+            found = self.follows[k] = self._stay_apart(a, b)
+        return found
+
+    def _stay_apart(self, a: str, b: str) -> bool:
+        scores_b, first, _, whole = self.merges_of(b)
+        if not whole:
+            return False
+        if not a:
+            return True
+        scores_a, _, last, _ = self.merges_of(a)
+        i, j, n, m, none = 0, 0, len(scores_a), len(scores_b), float("-inf")
+        while True:
+            across = self.score.get(last[i] + first[j], none)
+            next_a = scores_a[i] if i < n else none
+            next_b = scores_b[j] if j < m else none
+            if across > next_a and across >= next_b and across > none:
+                return False
+            if i == n and j == m:
+                return True
+            if next_a >= next_b and i < n:
+                i += 1
+            else:
+                j += 1
 
     def shortest_path(self, part: str) -> list[str]:
-        """The pieces (or single characters without a piece) of a part. States are a place in it and the piece before."""
-        n, score, longest = len(part), self.score, self.longest
-        best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, -1, "")
-        for i in range(n):
-            if not best[i]:
-                continue
-            arcs = [part[i : i + k] for k in range(min(longest.get(part[i : i + 2], 1), n - i), 1, -1)]
-            arcs = [a for a in arcs if a in score] + [part[i]]
-            for last, (cost, _, _) in best[i].items():
-                for a in arcs:
-                    if self.may_follow(last, a):
-                        total = cost - score.get(a, 0.0)
-                        to = best[i + len(a)]
-                        if a not in to or total < to[a][0]:
-                            to[a] = (total, i, last)
-        piece = min(best[n], key=lambda p: best[n][p][0])
-        out, at = [], n
-        while at:
-            out.append(piece)
-            _, at, piece = best[at][piece]
-        return out[::-1]
+        """The pieces (or single characters without a piece) of a part.
+
+        A state is a place in the part and the piece that ends there; the acceptor leaves at most one for each place. So
+        the accepted path is searched depth first, longest arcs first, and a place that leads nowhere is dead for good.
+        """
+        n, score, lengths, follow = len(part), self.score, self.lengths, self.may_follow
+        out: list[str] = []
+        at, last, most, dead = 0, "", n, set()
+        while at < n:
+            for k in lengths.get(part[at : at + 3], (2, 1)):
+                if k > most or k > n - at:
+                    continue
+                arc = part[at : at + k]
+                if (k == 1 or arc in score) and at + k not in dead and follow(last, arc):
+                    out.append(arc)
+                    at, last, most = at + k, arc, n
+                    break
+            else:
+                dead.add(at)
+                arc = out.pop()
+                at, last, most = at - len(arc), out[-1] if out else "", len(arc) - 1
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
