@@ -26,9 +26,9 @@ def render(role: Column, content: Column) -> Column:
 
 
 def escaped(text: Column) -> Column:
-    """No control string is left whole in the result: "###", "</turn>" and ": " get a backslash inside."""
+    """No control string is left whole in the result: "#", "</turn>" and ": " get a backslash before or inside."""
     x = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    x = F.replace(x, F.lit("###"), F.lit("\\#\\#\\#"))
+    x = F.replace(x, F.lit("#"), F.lit("\\#"))
     return F.replace(F.replace(x, F.lit("</turn>"), F.lit("<\\/turn>")), F.lit(MIDDLE), F.lit(":\\ "))
 
 
@@ -120,7 +120,7 @@ WITH a AS (
 ), b AS (
   SELECT *, regexp_matches(role, '(?s)\\.') OR regexp_matches(text, '(?s)\\.') OR contains(text, '###') OR contains(text, '</turn>') OR contains(role, ': ') AS e FROM a
 ), c AS (
-  SELECT *, CASE WHEN e THEN replace(replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>'), ': ', ':\ ') ELSE text END AS content FROM b
+  SELECT *, CASE WHEN e THEN replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ': ', ':\ ') ELSE text END AS content FROM b
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
