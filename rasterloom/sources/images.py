@@ -63,6 +63,11 @@ def probe(files: DataFrame) -> DataFrame:
     )
 
 
+def plain_path(path: Column | str) -> Column:
+    """A path without the ways in which readers spell a local one."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def load(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Pixels (image_id, path, h, w, y, x, r, g, b, a) of image files; a is null without an alpha channel.
 
@@ -70,7 +75,7 @@ def load(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     can't be decoded give no rows; probe tells which.
     """
     d = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
-    d = d.select(F.xxhash64("origin").alias("image_id"), F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("n"), "data")
+    d = d.select(F.xxhash64(plain_path("origin")).alias("image_id"), plain_path("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("n"), "data")
     d = d.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
     d = d.withColumn("line", F.hex(F.substring("data", F.col("y") * F.col("w") * F.col("n") + 1, F.col("w") * F.col("n")))).drop("data")
     d = d.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
