@@ -29,6 +29,8 @@ from rasterloom.llm.common import read, saved, whole_groups
 #: Length of a node's list, nodes of a list that a round opens, and entries of theirs that it reads.
 LIST, OPENED, READ = 32, 12, 16
 TREES, LEAF, SAMPLE = 6, 4096, 20_000
+#: Neighbouring leaves of the first tree whose vectors are a block. Wider blocks need fewer copies of asking vectors.
+BLOCK_LEAVES = 4
 #: Nodes that a search keeps for each query, and nodes of greatest norm that it starts from.
 BEAM, TOPS = 128, 16
 #: Rounds of NN-descent at most, and the share of changed entries below which they end.
@@ -253,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("x").toPandas()["x"]
     trees = forest(np.stack(sample) if len(sample) else np.zeros((0, 1)), n)
     placed = nodes.select("node", "x").mapInArrow(_place(trees), "node long, x array<double>, leaves array<long>")
-    placed = saved(placed.withColumn("block", F.col("leaves")[0]), "vector-blocks")
+    placed = saved(placed.withColumn("block", F.floor(F.col("leaves")[0] / BLOCK_LEAVES)), "vector-blocks")
     graph = build(placed)
     tops = [r.node for r in nodes.orderBy(F.desc("norm2"), "node").limit(TOPS).select("node").collect()]
     asked = saved(v.where(is_query).join(nodes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "asked")
