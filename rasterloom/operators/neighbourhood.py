@@ -1,7 +1,9 @@
 """Filters over neighbouring pixels as window frames along rows and columns.
 
 A frame along x needs the pixels of a row together, one along y those of a column. All columns that need means share
-one window, so a guided filter takes four exchanges however many channels there are.
+one window, and means along different axes can change places: all passes along one axis run before those along the
+other, and the second half of a guided filter starts with the axis on which the first ended. A blur takes two exchanges and a
+guided filter three, however many channels and passes there are; none where whole images lie together (by_image).
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from rasterloom.functions.color import clip01, rgb_to_ycbcr, ycbcr_to_rgb
 from rasterloom.functions.sizing import box_radius
 
 
+def by_image(df: DataFrame) -> DataFrame:
+    """Deals out pixels by image, for relations of many small images: what follows then needs no exchange. Not for one large image."""
+    return df.repartition("image_id")
+
+
 def _box_axis(df: DataFrame, values: list[str], radius: int, along: str, across: str, size: str) -> DataFrame:
     """Means of 2r+1 samples along an axis; the first and last sample repeat beyond the edges; r is at most size - 1."""
     line = Window.partitionBy("image_id", across).orderBy(along)
@@ -27,11 +34,11 @@ def _box_axis(df: DataFrame, values: list[str], radius: int, along: str, across:
     return df.withColumns({c: mean(c) for c in values})
 
 
-def box_blur(df: DataFrame, values: list[str], radius: int, passes: int = 1) -> DataFrame:
-    """Mean over a square, down the columns and then along the rows, passes times; a radius below 1 changes nothing."""
-    for _ in range(passes if radius >= 1 else 0):
-        df = _box_axis(df, values, radius, "y", "x", "h")
-        df = _box_axis(df, values, radius, "x", "y", "w")
+def box_blur(df: DataFrame, values: list[str], radius: int, passes: int = 1, axes: str = "yx") -> DataFrame:
+    """Mean over a square, passes times; a radius below 1 changes nothing. axes: the order of axes, which only moves exchanges."""
+    for axis in axes if radius >= 1 else "":
+        for _ in range(passes):
+            df = _box_axis(df, values, radius, "y", "x", "h") if axis == "y" else _box_axis(df, values, radius, "x", "y", "w")
     return df
 
 
@@ -52,7 +59,7 @@ def guided_filter(df: DataFrame, guides: list[str], sources: list[str], radius:
         mi, mp = F.col(f"__i{i}"), F.col(f"__p{i}")
         a = (F.col(f"__ip{i}") - mi * mp) / (F.col(f"__ii{i}") - mi * mi + eps)
         lines |= {f"__a{i}": a, f"__b{i}": mp - a * mi}
-    df = box_blur(df.withColumns(lines).drop(*need), list(lines), radius)
+    df = box_blur(df.withColumns(lines).drop(*need), list(lines), radius, axes="xy")
     return df.withColumns({s: F.col(f"__a{i}") * F.col(g) + F.col(f"__b{i}") for i, (g, s) in enumerate(pairs)}).drop(*lines)
 
 

@@ -30,7 +30,8 @@ FROM (SELECT vec_id, UNNEST(range(0, 64)) AS x, UNNEST(embedding) AS v FROM embe
 
 def part_images(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """A small RGB image with alpha for each part: ramps and waves whose phases come from the part's columns."""
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    # Parts are dealt out by their key before they become pixels, so that all pixels of an image lie together.
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").repartition("p_partkey")
     at = F.sequence(F.lit(0), F.lit(side - 1))
     p = p.withColumn("y", F.explode(at)).withColumn("x", F.explode(at))
     k, s, c = F.col("p_partkey") % 17, F.col("p_size").cast("double"), F.col("p_retailprice") / 2500.0
