@@ -7,7 +7,8 @@ texts end in just those two pieces. A path of such arcs is the model's own segme
 border between two pieces would cross it in the text of these two alone too. The shortest path in the tropical
 semiring is taken; as the acceptor leaves one path to each place, that is the accepted path.
 
-No piece holds U+2581 after another character, so texts fall into parts U+2581+ other*, each composed by itself.
+No piece holds U+2581 after another character, so merges never cross such borders: texts fall into parts U+2581+ other*.
+Nor does a piece of the model at hand join Latin letters to other ASCII, so a part falls into sections there.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from rasterloom.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of the caches of parts and of neighbours; they are emptied when full.
-PARTS, NEIGHBOURS = 800_000, 500_000
+PARTS, NEIGHBOURS = 600_000, 500_000
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[\x00-@\[-`{-\x7f]"
+#: Borders between Latin letters and other ASCII.
+_BORDER = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 
 
 class Transducer:
@@ -36,6 +40,8 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces):
             raise ValueError("a piece holds U+2581 after another character")
         self.pieces, self.bytes = pieces, bytes_
+        #: Whether no piece stands across a _BORDER.
+        self.bordered = not any(_BORDER.search(p) for p, _, _ in pieces)
         self.score = {p: s for p, s, _ in pieces}
         self.ids = {p: i for p, _, i in pieces}
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(bytes_)}
@@ -47,7 +53,7 @@ class Transducer:
         self.lengths = {k: tuple(sorted(v, reverse=True)) + (2, 1) for k, v in lengths.items()}
         self.follows: dict[tuple[str, str], bool] = {}
         self.merges: dict[str, tuple[list, list, list, bool]] = {}
-        self.parts = _Parts(self)
+        self.parts, self.sections = _Parts(self), _Sections(self)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Transducer:
@@ -140,6 +146,13 @@ class Transducer:
                 at, last, most = at - len(arc), out[-1] if out else "", len(arc) - 1
         return out
 
+    def section(self, text: str) -> bytes:
+        ids: list[int] = []
+        for p in self.shortest_path(text):
+            i = self.ids.get(p)
+            ids += [i] if i is not None else [self.bytes[b] for b in p.encode()]
+        return np.array(ids, np.int32).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -160,11 +173,18 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= PARTS:
             self.clear()
-        ids: list[int] = []
-        for p in self.of.shortest_path(part):
-            i = self.of.ids.get(p)
-            ids += [i] if i is not None else [self.of.bytes[b] for b in p.encode()]
-        out = self[part] = np.array(ids, np.int32).tobytes()
+        sections = _BORDER.split(part) if self.of.bordered else [part]
+        out = self[part] = self.of.section(part) if len(sections) == 1 else b"".join(map(self.of.sections.__getitem__, sections))
+        return out
+
+
+class _Sections(_Parts):
+    """Ids of the sections of parts with more than one."""
+
+    def __missing__(self, section: str) -> bytes:
+        if len(self) >= PARTS:
+            self.clear()
+        out = self[section] = self.of.section(section)
         return out
 
 
