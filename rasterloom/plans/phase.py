@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.color import clip01, rgb_to_ycbcr, ycbcr_to_rgb
 from rasterloom.operators import neighbourhood, resample, spectral, topology, transport
+from rasterloom.sources.tables import written
 
 
 def plan(h: int, w: int, scale: float, max_pixels: int = 0) -> tuple[int, int]:
@@ -21,7 +22,7 @@ def plan(h: int, w: int, scale: float, max_pixels: int = 0) -> tuple[int, int]:
 
 def analyse(field: DataFrame, value: str = "v", bands: int = 3) -> DataFrame:
     """Bands with theta, r, amp, phi, gx, gy; the low pass stays in as band -1."""
-    parts = spectral.decompose(field, value, bands)
+    parts = written(spectral.decompose(field, value, bands))
     theta = transport.orientation(parts.where("band >= 0")).select("image_id", "y", "x", "theta")
     return spectral.phase_gradient(transport.amplitude_phase(parts.join(theta, ["image_id", "y", "x"])))
 
@@ -30,15 +31,15 @@ def enlarge(field: DataFrame, scale: float, value: str = "v", bands: int = 3, re
     """(image_id, h, w, y, x, v): a grey field at scale times its size."""
     if scale < 1:
         raise ValueError("the phase method only enlarges")
-    parts = analyse(field, value, bands)
+    parts = written(analyse(field, value, bands))
     moved = transport.transport(parts.where("band >= 0"), scale).groupBy("image_id", "h", "w", "y", "x").agg(F.sum("v").alias("detail"))
     low = resample.resize_chained(parts.where("band = -1").select("image_id", "h", "w", "y", "x", F.col("b").alias("low")), ["low"], scale)
     out = low.join(moved.drop("h", "w"), ["image_id", "y", "x"]).select("image_id", "h", "w", "y", "x", (F.col("low") + F.col("detail")).alias("v"))
     if not keep_topology:
         return out
-    plain = resample.resize_chained(field.select("image_id", "h", "w", "y", "x", F.col(value).alias("v")), ["v"], scale)
-    tau = topology.persistence_threshold(field, value, relative)
-    out = topology.suppress(out, plain, "v", tau)
+    plain = written(resample.resize_chained(field.select("image_id", "h", "w", "y", "x", F.col(value).alias("v")), ["v"], scale))
+    tau = written(topology.persistence_threshold(field, value, relative))
+    out = written(topology.suppress(written(out), plain, "v", tau))
     peaks = topology.significant(topology.extrema(field, value), tau).select("image_id", ((F.col("y") + 0.5) * scale - 0.5).alias("y"), ((F.col("x") + 0.5) * scale - 0.5).alias("x"), "value")
     return topology.restore(out, peaks, "v", tau)
 
@@ -49,7 +50,7 @@ def enlarge_rgb(px: DataFrame, scale: float, chroma_detail: float = 0.25, **opti
     The gate of that part is the cosine between the gradients of luma and chroma times their ratio, both within 0..1.
     """
     ycc = rgb_to_ycbcr(px.select("image_id", "h", "w", "y", "x", "r", "g", "b"))
-    luma = enlarge(ycc, scale, "luma", **options).withColumnRenamed("v", "luma")
+    luma = written(enlarge(ycc, scale, "luma", **options)).withColumnRenamed("v", "luma")
     names = ["image_id", "y", "x"]
     d = neighbourhood.gradient(ycc, "luma").withColumnsRenamed({"gx": "lx", "gy": "ly", "magnitude": "lm"})
     for c in ("cb", "cr"):

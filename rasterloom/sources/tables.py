@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder of spark.checkpoint.dir (a new local one where that is unset).
+
+    For what a plan reads several times: it is worked out once, and the loss of executors doesn't lose it.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/pixels-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def embedding_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One grey field: a row for each vector in the order of vec_id (0, 1, ...), a column for each component, value clipped to 0..1."""
     e = read(spark, sf_dir, "embeddings")
