@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import narrow, read, row_key, same_row, saved
+from rasterloom.llm.license_digests import DIGESTS
 
 # Public licence texts and notices (SPDX identifier, text).
 KNOWN = [
@@ -24,6 +25,27 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
+# The usual wrappings of the ISC text, of which a line that starts with "copyright" is taken for a copyright line.
+_ISC = KNOWN[1][1]
+_ISC_WRAPPED = _ISC.replace(" copyright notice and this permission notice appear in all copies.", "")
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+_BSD_TERMS = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"]
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _bsd(terms: int) -> list[str]:
+    """The text with its terms numbered or not, for one holder or several."""
+    lists = ["".join(f"{i + 1}. {t}" if numbered else t for i, t in enumerate(_BSD_TERMS[:terms])) for numbered in (True, False)]
+    return [_BSD_HEAD + x + _BSD_TAIL.format(who) for x in lists for who in ("HOLDER", "HOLDERS", "OWNER")]
+
+
+# Texts that stand below a title or none (SPDX identifier, texts, titles).
+TITLED = [
+    ("MIT", [KNOWN[0][1]], ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"]),
+    ("ISC", [_ISC, _ISC_WRAPPED], ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"]),
+    ("BSD-2-Clause", _bsd(2), ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"]),
+    ("BSD-3-Clause", _bsd(3), ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"]),
+]
 # Spellings that licence matching treats as equal (left becomes right).
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("organisation", "organization"), ("favour", "favor"), ("fulfil", "fulfill"), ("judgement", "judgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright holder", "copyright owner"), ("https", "http")]
 
@@ -45,8 +67,10 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """The table of known digests. It is as long as KNOWN, so it can be broadcast."""
-    return spark.createDataFrame(KNOWN, "license string, text string").select("license", digest(F.col("text")).alias("digest")).distinct()
+    """The table of known digests: KNOWN, TITLED with each title, and the long texts' DIGESTS. It has some hundred rows, so it can be broadcast."""
+    titled = [(name, f"{title}\n{rights}\n{text}") for name, texts, titles in TITLED for text in texts for title in ["", *titles] for rights in ("", "All rights reserved.")]
+    short = spark.createDataFrame(KNOWN + titled, "license string, text string").select("license", digest(F.col("text")).alias("digest"))
+    return short.union(spark.createDataFrame(DIGESTS, "license string, digest string")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
