@@ -66,17 +66,22 @@ def steps_for(ratio: float, most: float = 2.0) -> int:
     return n
 
 
-def resize_chained(df: DataFrame, values: list[str], scale: float, most: float = 2.0) -> DataFrame:
-    """Enlarges by steps of at most `most` times. The target is the rounded size times scale."""
-    target = {"__tw": F.greatest(F.lit(1), F.rint(F.col("w") * scale).cast("int")), "__th": F.greatest(F.lit(1), F.rint(F.col("h") * scale).cast("int"))}
-    d = df.withColumns(target)
-    for k in range(steps_for(scale, most), 0, -1):
+def resize_to(df: DataFrame, values: list[str], out_w: Column, out_h: Column, ratio: float, most: float = 2.0) -> DataFrame:
+    """To out_w x out_h by steps of at most `most` times; ratio is the greatest enlargement of any image."""
+    d = df.withColumns({"__tw": out_w, "__th": out_h})
+    for k in range(steps_for(ratio, most), 0, -1):
         far = F.greatest(F.col("__tw") / F.col("w"), F.col("__th") / F.col("h")) > most + 1e-6
         step = lambda size, to: F.when(far, F.least(F.col(to), F.greatest(F.col(size) + 1, F.ceil(F.col(size) * most).cast("int")))).otherwise(F.col(to))
         d = resize(d, values, step("w", "__tw") if k > 1 else F.col("__tw"), step("h", "__th") if k > 1 else F.col("__th"))
     return d.drop("__tw", "__th")
 
 
+def resize_chained(df: DataFrame, values: list[str], scale: float, most: float = 2.0) -> DataFrame:
+    """Enlarges by steps of at most `most` times. The target is the rounded size times scale."""
+    size = lambda c: F.greatest(F.lit(1), F.rint(F.col(c) * scale).cast("int"))
+    return resize_to(df, values, size("w"), size("h"), scale, most)
+
+
 def nearest(df: DataFrame, out_w: Column, out_h: Column) -> DataFrame:
     """Output pixel o takes input min(o * n div n_out, n - 1): each pixel is repeated where it stands, without a shuffle."""
     d = df.withColumns({"__ow": out_w.cast("int"), "__oh": out_h.cast("int")})

@@ -35,6 +35,8 @@ _q = sql.chroma_denoise(sql.chained(_q, RGB, 2.0, 1), 2.4)
 _q = sql.adjust(sql.unsharp(sql.detail(_q, RGB, 2, 8e-4, 0.40), RGB, 0.5, 0.5, 0.004), 0.1, 1.1, 1.0)
 register("pipeline_quality", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d).drop("a"), _quality)), per_image_sql(_q))
 register("pipeline_alpha", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", detail=0.0, backend="nearest")), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.nearest(tables.PART_IMAGES, 'w * 2', 'h * 2')}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 2.0, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))
+_side = tables.SIDE * 3 // 2
+register("pipeline_fitted", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", longest_side=_side, detail_radius=5)), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.detail(sql.chained(tables.PART_IMAGES, RGB, 1.5, 1), RGB, 2, 1e-3, 0.25)}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 1.5, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))
 register(
     "pipeline_target",
     lambda s, d: pipeline.target(base.order_sizes(s, d).select("o_orderkey", "w", "h"), pipeline.Options(longest_side=1500, max_pixels=1_000_000)).select("o_orderkey", "out_w", "out_h", F.size("notes").alias("n_notes")),

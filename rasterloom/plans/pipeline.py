@@ -100,37 +100,66 @@ def memory_guard(images: DataFrame, limit_bytes: int) -> DataFrame:
     return images.withColumn("w", F.when(size > limit_bytes, F.raise_error(F.format_string("image of %d bytes is over the limit", size)).cast("int")).otherwise(F.col("w")))
 
 
+def _sized(px: DataFrame, opts: Options) -> DataFrame:
+    """px with out_w, out_h, the scale that the backend runs at (that of both axes, else the root of the area's) and the enlargement of the width."""
+    d = target(px, opts).drop("notes")
+    sx, sy = F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h")
+    uniform = F.abs(sx - sy) <= 0.01 * F.greatest(sx, sy)
+    return d.withColumns({"__scale": F.when(uniform, (sx + sy) / 2).otherwise(F.sqrt(sx * sy)), "__gain": F.greatest(F.lit(1.0), sx), "__ratio": F.greatest(sx, sy)})
+
+
 def enhance(px: DataFrame, opts: Options, backend: Backend | None = None) -> DataFrame:
     """px (image_id, h, w, y, x, r, g, b[, a]) enhanced: denoise, levels, enlarge, fit, chroma, detail, sharpen, colour, clip.
 
-    Alpha is enlarged by itself and joined. Radii grow with the enlargement. Sharpening is done once.
+    Sizes are those of target(), for every option. The backend runs at the scale of both axes (or the root of the area's),
+    then images are fitted. Alpha is enlarged to the same size by itself and joined. Radii grow with the enlargement, so
+    there is a branch of the plan for each different enlargement; sizes are counted first. Sharpening is done once.
     """
-    scale = opts.scale if opts.scale is not None else 4.0
-    fitted = opts.width or opts.height or opts.longest_side
     rgb = px.select("image_id", "h", "w", "y", "x", *RGB)
+    sizes = _sized(px.select("image_id", "h", "w").distinct(), opts)
+    run = backend or BACKENDS[opts.backend]
+    made = lambda size: F.greatest(F.lit(1), F.rint(F.col(size) * F.col("__scale")).cast("int"))
+    off = (made("w") != F.col("out_w")) | (made("h") != F.col("out_h"))
+    # Only the backends by name are known to give the rounded size.
+    off = off if backend is None and opts.backend in ("classical", "nearest") else F.lit(True)
+    kinds = sizes.groupBy("__scale", "__gain").agg(F.max("__ratio").alias("ratio"), F.max(off).alias("off")).orderBy("__scale", "__gain").collect()
+    ratio = max((k["ratio"] for k in kinds), default=1.0)
     if opts.denoise > 0:
         rgb = near.denoise(rgb, RGB, opts.denoise_radius, opts.denoise)
     if opts.auto_levels > 0:
         rgb = color.auto_levels(rgb, strength=opts.auto_levels)
-    if fitted:
-        size = target(rgb.select("image_id", "h", "w").distinct(), opts).select("image_id", "out_w", "out_h")
-        d = rgb.join(size, "image_id").withColumns({"__ow": F.col("out_w"), "__oh": F.col("out_h")}).drop("out_w", "out_h")
-        d = resample.resize(d, RGB, F.col("__ow"), F.col("__oh"))
-        gain = 1.0
+    to = sizes.select("image_id", F.col("out_w").alias("__to_w"), F.col("out_h").alias("__to_h"))
+
+    def branch(scale: float, gain: float, fit: bool, of: DataFrame) -> DataFrame:
+        d = run(of, scale)
+        if fit:
+            d = resample.resize_to(d.join(to, "image_id"), RGB, F.col("__to_w"), F.col("__to_h"), ratio).drop("__to_w", "__to_h")
+        if opts.chroma_denoise > 0:
+            d = near.chroma_denoise(d, opts.chroma_denoise * gain)
+        if opts.detail > 0:
+            d = near.detail_enhance(d, RGB, max(1, round(opts.detail_radius * gain / 4)), opts.detail_eps, opts.detail)
+        if opts.sharpen > 0:
+            d = near.unsharp(d, RGB, opts.sharpen, max(0.5, opts.sharpen_radius * gain / 4), opts.sharpen_threshold)
+        return d
+
+    if len(kinds) > 1:
+        sized, names = _sized(rgb, opts), rgb.columns
+        d = None
+        for k in kinds:
+            part = branch(k["__scale"], k["__gain"], k["off"], sized.where((F.col("__scale") == k["__scale"]) & (F.col("__gain") == k["__gain"])).select(*names))
+            d = part if d is None else d.unionByName(part)
     else:
-        d = (backend or BACKENDS[opts.backend])(rgb, scale)
-        gain = max(1.0, scale)
-    if opts.chroma_denoise > 0:
-        d = near.chroma_denoise(d, opts.chroma_denoise * gain)
-    if opts.detail > 0:
-        d = near.detail_enhance(d, RGB, max(1, round(opts.detail_radius * gain / 4)), opts.detail_eps, opts.detail)
-    if opts.sharpen > 0:
-        d = near.unsharp(d, RGB, opts.sharpen, max(0.5, opts.sharpen_radius * gain / 4), opts.sharpen_threshold)
+        k = kinds[0] if kinds else {"__scale": 1.0, "__gain": 1.0, "off": False}
+        d = branch(k["__scale"], k["__gain"], k["off"], rgb)
     if opts.gamma != 1.0 or opts.contrast != 0.0 or opts.saturation != 1.0:
         d = color.adjust_color(d, opts.contrast, opts.saturation, opts.gamma)
     d = d.withColumns({c: color.clip01(F.col(c)) for c in RGB})
-    if "a" in px.columns and not fitted:
-        a = resample.resize_alpha(px.select("image_id", "h", "w", "y", "x", "a"), "a", scale, opts.alpha_mode)
+    if "a" in px.columns:
+        a = target(px.select("image_id", "h", "w", "y", "x", "a"), opts).withColumns({"__to_w": F.col("out_w"), "__to_h": F.col("out_h")}).drop("out_w", "out_h", "notes")
+        if opts.alpha_mode == "nearest":
+            a = resample.nearest(a, F.col("__to_w"), F.col("__to_h"))
+        else:
+            a = resample.resize_to(a, ["a"], F.col("__to_w"), F.col("__to_h"), ratio).withColumn("a", color.clip01(F.col("a")))
         d = d.join(a.select("image_id", "y", "x", "a"), ["image_id", "y", "x"])
     return d
 
