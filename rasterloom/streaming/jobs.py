@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 FINAL = ("succeeded", "failed", "cancelled")
 # HTTP status by error class.
@@ -45,18 +44,39 @@ def evict(jobs: DataFrame, now: Column, ttl_seconds: float) -> DataFrame:
     return jobs.where(~(done() & F.coalesce(old, F.lit(False))))
 
 
+def _in_order(capacity: int):
+    """Goes through the events of each queue in turn; holds the admitted jobs that aren't finished."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, active = None, set()
+        for p in batches:
+            out = []
+            for queue, job, step, holds in zip(p.queue, p.job_id, p.step, p.holds, strict=True):
+                if queue != last:
+                    last, active = queue, set()
+                if step < 0:
+                    active.discard(job)
+                    continue
+                out.append((queue, job, len(active), len(active) < capacity))
+                if holds and len(active) < capacity:
+                    active.add(job)
+            yield pd.DataFrame(out, columns=["queue", "job_id", "active", "admitted"])
+
+    return run
+
+
 def admit(requests: DataFrame, capacity: int) -> DataFrame:
-    """Adds admitted to requests (queue, job_id, created_at, finished_at): whether fewer than capacity jobs of the queue that came earlier were unfinished.
+    """Adds active and admitted to requests (queue, job_id, created_at, finished_at): the admitted jobs of the queue that came earlier and are unfinished, and whether these are fewer than capacity.
 
-    Requests and finishes are one sequence of +1 and -1, so a running sum over a queue decides; all requests count as active,
-    refused ones too, until they finish.
+    Events count in the order of time, finishes first, then job_id. Refused requests take no capacity, so each decision needs
+    those before it: the events of a queue are sorted and gone through once, with at most capacity jobs held.
     """
-    start = requests.select("queue", "job_id", F.col("created_at").alias("at"), F.lit(1).alias("step"))
-    end = requests.where("finished_at is not null").select("queue", "job_id", F.col("finished_at").alias("at"), F.lit(-1).alias("step"))
-    line = Window.partitionBy("queue").orderBy("at", "step", "job_id").rowsBetween(Window.unboundedPreceding, -1)
-    active = start.union(end).withColumn("active", F.coalesce(F.sum("step").over(line), F.lit(0)))
-    active = active.where("step = 1").select("queue", "job_id", "active", (F.col("active") < capacity).alias("admitted"))
-    return requests.join(active, ["queue", "job_id"])
+    holds = F.coalesce(F.col("finished_at") > F.col("created_at"), F.lit(True)).alias("holds")
+    start = requests.select("queue", "job_id", F.col("created_at").alias("at"), F.lit(1).alias("step"), holds)
+    end = requests.where("finished_at is not null").select("queue", "job_id", F.col("finished_at").alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("holds"))
+    events = start.union(end).where("queue is not null").repartition("queue").sortWithinPartitions("queue", "at", "step", "job_id")
+    schema = start.select("queue", "job_id", F.lit(0).cast("long").alias("active"), F.lit(True).alias("admitted")).schema
+    return requests.join(events.select("queue", "job_id", "step", "holds").mapInPandas(_in_order(capacity), schema), ["queue", "job_id"])
 
 
 def http_status(error: Column) -> Column:
