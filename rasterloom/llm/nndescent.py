@@ -33,8 +33,10 @@ TREES, LEAF, SAMPLE = 6, 4096, 20_000
 BLOCK_LEAVES = 4
 #: Nodes that a search keeps for each query, and nodes of greatest norm that it starts from.
 BEAM, TOPS = 128, 16
-#: Rounds of NN-descent at most, and the share of changed entries below which they end.
-ROUNDS, CHANGED = 3, 0.05
+#: The share of changed entries below which the rounds of NN-descent end.
+CHANGED = 0.05
+#: Asking vectors of a block that are scored in one task; more are dealt to copies of the block.
+ASKING = 4096
 
 _LISTS = "node long, ids array<long>, sims array<double>, open array<boolean>"
 
@@ -172,11 +174,24 @@ def _score(asked: pa.Table, block: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_lists(asked.column("node").to_numpy(), of, ids, sims, np.zeros(len(of), bool))])
 
 
+def salts(asked: DataFrame) -> DataFrame:
+    """(block, salts): how many copies of each block that asked (node, block) needs for about ASKING asking vectors each."""
+    return asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("salts"))
+
+
 def scored(wanted: DataFrame, asking: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists of (ids, sims) for wanted (node, ids); asking has the vectors of the nodes that ask."""
+    """Lists of (ids, sims) for wanted (node, ids); asking has the vectors of the nodes that ask.
+
+    A block that many nodes ask is copied, and each copy answers a part of them, so that no task has more than about
+    ASKING vectors besides those of a block.
+    """
     pairs = wanted.select("node", F.explode("ids").alias("id")).join(nodes.select(F.col("node").alias("id"), "block"), "id")
-    pairs = pairs.groupBy("node", "block").agg(F.collect_list("id").alias("ids")).join(asking.select("node", "x"), "node")
-    return pairs.groupBy("block").cogroup(nodes.select("node", "x", F.col("block").alias("held")).groupBy("held")).applyInArrow(_score, _LISTS)
+    pairs = saved(pairs.groupBy("node", "block").agg(F.collect_list("id").alias("ids")), "asked-blocks")
+    copies = saved(salts(pairs), "block-copies")
+    pairs = pairs.join(copies, "block").withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).join(asking.select("node", "x"), "node")
+    held = nodes.select("node", "x", "block").toDF("node", "x", "held").join(copies.withColumnRenamed("block", "held"), "held")
+    held = held.select("node", "x", "held", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("copy")).toDF("node", "x", "held", "copy")
+    return pairs.select("node", "ids", "x", "block", "salt").toDF("node", "ids", "x", "block", "salt").groupBy("block", "salt").cogroup(held.groupBy("held", "copy")).applyInArrow(_score, _LISTS)
 
 
 def neighbours_of(opened: DataFrame, graph: DataFrame) -> DataFrame:
@@ -198,7 +213,7 @@ def build(nodes: DataFrame) -> DataFrame:
     placed = nodes.select("node", "x", F.posexplode("leaves").alias("tree", "leaf"))
     start = placed.groupBy("tree", "leaf").applyInArrow(_within_leaf, _LISTS)
     graph = saved(merged(start, LIST), "graph")
-    for _ in range(ROUNDS):
+    while True:
         links = saved(both_ways(graph, READ), "graph-links")
         opened = graph.select("node", F.explode(F.slice("ids", 1, OPENED)).alias("id"))
         wanted = neighbours_of(opened, links).join(graph.select("node", F.col("ids").alias("had")), "node")
