@@ -130,5 +130,10 @@ def presence(models: DataFrame, files: DataFrame) -> DataFrame:
     return d.select(*models.columns, F.coalesce(F.col("`.onnx`"), F.col("`_fp16.onnx`")).alias("onnx"), F.col("`.pth`").alias("weights"))
 
 
+def checksums(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files with their content, as Spark's binaryFile source lists them (it leaves empty files out)."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def disk_usage(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import color
 from rasterloom.operators import models, spectral, topology
 from rasterloom.plans import catalogue as base
-from rasterloom.plans import phase, pipeline
+from rasterloom.plans import config, phase, pipeline
 from rasterloom.plans import sqltext as sql
 from rasterloom.sources import images, tables
 from rasterloom.streaming import jobs
@@ -123,9 +123,17 @@ a AS (SELECT *, coalesce(SUM(step) OVER (PARTITION BY queue ORDER BY moment, ste
 SELECT job_id, CAST(active AS BIGINT) AS active, active < 40 AS admitted FROM a WHERE step = 1""",
 )
 register("http_status", lambda s, d: event_jobs(s, d).select("job_id", jobs.http_status(F.when(F.col("status") == "failed", F.element_at(F.array(*map(F.lit, ("unauthorized", "queue_full", "odd"))), (F.col("job_id") % 3 + 1).cast("int")))).alias("code")), f"SELECT job_id, CASE WHEN status <> 'failed' THEN 200 ELSE CASE job_id % 3 WHEN 0 THEN 401 WHEN 1 THEN 429 ELSE 400 END END AS code FROM ({_J})")
+
+
+def event_options():
+    """Options of an event's props as a nested form: k is the tile and missing the scale."""
+    inner = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("tile"), F.get_json_object("props", "$.missing").alias("scale")))
+    return config.options_from(config.form_fields(F.create_map(F.lit("options"), inner)), pipeline.Options())
+
+
 register(
     "option_layers",
-    lambda s, d: tables.read(s, d, "events").select("event_id", F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS int)"), F.lit(512)).alias("tile"), F.coalesce(F.expr("try_cast(get_json_object(props, '$.missing') AS double)"), F.lit(4.0)).alias("scale")),
+    lambda s, d: tables.read(s, d, "events").select("event_id", event_options().alias("o")).select("event_id", "o.tile", "o.scale"),
     "SELECT event_id, coalesce(TRY_CAST(props->>'$.k' AS INT), 512) AS tile, coalesce(TRY_CAST(props->>'$.missing' AS DOUBLE), 4e0) AS scale FROM events",
 )
 register("bench_summary", lambda s, d: event_jobs(s, d).groupBy("status").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_ms"), F.round(F.min("value"), 6).alias("least_ms")), f"SELECT status, ROUND(quantile_cont(value, 0.5), 6) AS median_ms, ROUND(min(value), 6) AS least_ms FROM ({_J}) GROUP BY status")
