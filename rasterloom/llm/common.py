@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of so many narrow rows (some MB) may be broadcast; beyond it Spark's own shuffled join is used.
-BROADCAST_ROWS = 200_000
+#: A table of so many bytes may be broadcast; beyond it Spark's own shuffled join is used.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a new local one only where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir; a new local one only where that is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -35,9 +37,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def narrow(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a saved narrow table for broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.count() <= limit else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of saved tables from which nothing is read any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a saved narrow table for broadcast if its summed size allows it."""
+
+    def width(c: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if "<" in kind else F.lit(8)
+
+    size = df.agg(F.sum(sum((width(*x) for x in df.dtypes), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def ascii_lower(col):
@@ -74,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(v > u).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").where(F.col("b") != F.col("m")).select(F.col("m").alias("u"), F.col("b").alias("v"))
-        e = saved(small.union(root.select(F.col("m"), F.col("a"))).distinct(), "edges")
+        last, e = e, saved(small.union(root.select(F.col("m"), F.col("a"))).distinct(), "edges")
+        discard(last)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[pa.Table]:
