@@ -5,14 +5,17 @@ are the nearest by distance; queries have 0 there, so their order is that of the
 one node that stands for its least ids.
 
 1. Start: a forest of random projection trees, fitted on a bounded sample, deals all nodes into leaves of about
-   LEAF nodes; each leaf finds the nearest ones of its nodes within it.
+   LEAF nodes; each leaf finds the nearest ones of its nodes within it. Beyond what the sample can split, leaves are dealt
+   by a hash: the start is then worse and takes more rounds to mend.
 2. NN-descent: each node's list is joined with the lists of its neighbours (and of the nodes that list it); the
    neighbours of neighbours are scored and the best stay. Rounds go on until few entries change.
 3. Search: each query starts from its node's list and the nodes of greatest norm; again and again the lists of the best
    nodes that weren't opened yet are scored, until the best BEAM are all open.
 
 Scores are computed by blocks of nodes: candidate ids travel to the block that holds their vectors, with one copy of
-the asking vector for each block, and never a vector for each pair.
+the asking vector for each block, and never a vector for each pair. A node's number names its block. The few nodes of
+greatest norm are scored where the queries are, as each query asks them. Graph and search use single precision;
+the scores returned don't.
 """
 
 from __future__ import annotations
@@ -24,19 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import read, saved, whole_groups
+from rasterloom.llm.common import discard, narrow, read, saved, whole_groups
 
 #: Length of a node's list, nodes of a list that a round opens, and entries of theirs that it reads.
 LIST, OPENED, READ = 32, 12, 16
-TREES, LEAF, SAMPLE = 6, 4096, 20_000
+TREES, LEAF, SAMPLE = 6, 256, 8192
 #: Neighbouring leaves of the first tree whose vectors are a block. Wider blocks need fewer copies of asking vectors.
-BLOCK_LEAVES = 4
+BLOCK_LEAVES = 64
+#: Bits of a node's number below its block's.
+BITS = 32
 #: Nodes that a search keeps for each query, and nodes of greatest norm that it starts from.
 BEAM, TOPS = 128, 16
 #: The share of changed entries below which the rounds of NN-descent end.
 CHANGED = 0.05
 #: Asking vectors of a block that are scored in one task; more are dealt to copies of the block.
-ASKING = 4096
+ASKING = 16_384
 
 _LISTS = "node long, ids array<long>, sims array<double>, open array<boolean>"
 
@@ -51,7 +56,7 @@ def _matrix(column) -> np.ndarray:
 def _lists(node: np.ndarray, of: np.ndarray, ids: np.ndarray, sims: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
     """A row for each node; of: the place in node of each entry, sorted."""
     ends = pa.array(np.searchsorted(of, np.arange(len(node) + 1)), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(node), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, sims, open_))], names=["node", "ids", "sims", "open"])
+    return pa.RecordBatch.from_arrays([pa.array(node), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, sims.astype(np.float64), open_))], names=["node", "ids", "sims", "open"])
 
 
 def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF) -> list[list[tuple]]:
@@ -179,21 +184,48 @@ def salts(asked: DataFrame) -> DataFrame:
     return asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("salts"))
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each node and block of its ids."""
+    for b in batches:
+        lists = b.column("ids")
+        of, ids = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        block = ids >> BITS
+        o = np.lexsort((block, of))
+        of, ids, block = of[o], ids[o], block[o]
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])])) if len(of) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(first, len(of)), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(of[first])), pa.array(block[first]), pa.ListArray.from_arrays(ends, pa.array(ids))], names=["node", "block", "ids"])
+
+
 def scored(wanted: DataFrame, asking: DataFrame, nodes: DataFrame) -> DataFrame:
     """Lists of (ids, sims) for wanted (node, ids); asking has the vectors of the nodes that ask.
 
     A block that many nodes ask is copied, and each copy answers a part of them, so that no task has more than about
     ASKING vectors besides those of a block.
     """
-    pairs = wanted.select("node", F.explode("ids").alias("id")).join(nodes.select(F.col("node").alias("id"), "block"), "id")
-    pairs = saved(pairs.groupBy("node", "block").agg(F.collect_list("id").alias("ids")), "asked-blocks")
-    copies = saved(salts(pairs), "block-copies")
+    pairs = saved(wanted.mapInArrow(_by_block, "node long, block long, ids array<long>"), "asked-blocks")
+    copies = narrow(salts(pairs))
     pairs = pairs.join(copies, "block").withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).join(asking.select("node", "x"), "node")
-    held = nodes.select("node", "x", "block").toDF("node", "x", "held").join(copies.withColumnRenamed("block", "held"), "held")
+    held = nodes.select("node", "x", F.shiftright("node", BITS).alias("held")).join(copies.withColumnRenamed("block", "held"), "held")
     held = held.select("node", "x", "held", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("copy")).toDF("node", "x", "held", "copy")
     return pairs.select("node", "ids", "x", "block", "salt").toDF("node", "ids", "x", "block", "salt").groupBy("block", "salt").cogroup(held.groupBy("held", "copy")).applyInArrow(_score, _LISTS)
 
 
+def scored_here(tops: list[tuple[int, list[float]]]):
+    """Lists of the nodes tops (number, vector) for each row (node, x), itself left out."""
+    at, y = np.array([t[0] for t in tops], np.int64), np.array([t[1] for t in tops], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                node = b.column("node").to_numpy()
+                sims = _matrix(b.column("x")).astype(np.float64) @ y.T
+                of, k = np.nonzero(node[:, None] != at[None, :])
+                yield _lists(node, of, at[k], sims[of, k], np.zeros(len(of), bool))
+
+    return run
+
+
 def neighbours_of(opened: DataFrame, graph: DataFrame) -> DataFrame:
     """(node, ids): the entries of the lists of the nodes that each node opens; opened is (node, id)."""
     lists = graph.select(F.col("node").alias("id"), "ids")
@@ -209,38 +241,39 @@ def both_ways(lists: DataFrame, k: int) -> DataFrame:
 
 
 def build(nodes: DataFrame) -> DataFrame:
-    """The neighbour graph (node, ids, sims, open) of nodes (node, x, leaves, block)."""
+    """The neighbour graph (node, ids, sims, open) of nodes (node, x, leaves)."""
     placed = nodes.select("node", "x", F.posexplode("leaves").alias("tree", "leaf"))
     start = placed.groupBy("tree", "leaf").applyInArrow(_within_leaf, _LISTS)
     graph = saved(merged(start, LIST), "graph")
     while True:
-        links = saved(both_ways(graph, READ), "graph-links")
+        links, last = saved(both_ways(graph, READ), "graph-links"), graph
         opened = graph.select("node", F.explode(F.slice("ids", 1, OPENED)).alias("id"))
         wanted = neighbours_of(opened, links).join(graph.select("node", F.col("ids").alias("had")), "node")
         wanted = wanted.select("node", F.array_except(F.array_except("ids", "had"), F.array("node")).alias("ids"))
         # What a round adds isn't open; what was there is.
         old = graph.withColumn("open", F.transform("ids", lambda i: F.lit(True)))
         graph = saved(merged(old.union(scored(wanted, nodes, nodes)), LIST), "graph")
+        discard(links, last)
         new, every = graph.select(F.sum(F.size(F.filter("open", lambda o: ~o))), F.sum(F.size("ids"))).first()
         if (new or 0) <= CHANGED * (every or 0):
             break
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tops: list[int]) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tops: list[tuple[int, list[float]]]) -> DataFrame:
     """Pools (node, ids, sims, open) of the BEAM best nodes for each query (node, x), itself left out."""
     links = saved(both_ways(graph, LIST), "search-links")
-    start = queries.select("node").join(graph.select("node", "ids"), "node", "left")
-    start = start.select("node", F.array_except(F.array_union(F.coalesce("ids", F.array().cast("array<long>")), F.array(*map(F.lit, tops)).cast("array<long>")), F.array("node")).alias("ids"))
-    pool = saved(merged(scored(start, queries, nodes), BEAM), "pool")
+    start = scored(queries.select("node").join(graph.select("node", "ids"), "node"), queries, nodes)
+    pool = saved(merged(start.union(queries.mapInArrow(scored_here(tops), _LISTS)), BEAM), "pool")
     while True:
         opened = pool.select("node", F.explode(F.filter(F.arrays_zip("ids", "open"), lambda e: ~e["open"])).alias("e")).select("node", F.col("e.ids").alias("id"))
         wanted = neighbours_of(opened, links).join(pool.select("node", F.col("ids").alias("had")), "node")
         wanted = saved(wanted.select("node", F.array_except(F.array_except("ids", "had"), F.array("node")).alias("ids")).where(F.size("ids") > 0), "wanted")
         old = pool.withColumn("open", F.transform("ids", lambda i: F.lit(True)))
-        if not wanted.count():
+        if wanted.isEmpty():
             return old
-        pool = saved(merged(old.union(scored(wanted, queries, nodes)), BEAM), "pool")
+        pool, last = saved(merged(old.union(scored(wanted, queries, nodes)), BEAM), "pool"), pool
+        discard(last, wanted)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -251,32 +284,35 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of vectors (vec_id, embedding) that is_query holds for.
 
-    Vectors that are null, empty, zero, of other than the greatest length, or with null or non-finite components take no part,
+    Vectors that are null, empty, zero, of other than the commonest length (the greatest of equally common ones), or with null or non-finite components take no part,
     nor do null ids. Of an id's different vectors the least counts; repeated rows count once. Ties go to the smaller id.
     With fewer than k candidates all are returned; an empty table gives no rows. Other columns are left out.
     """
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0)
     v = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     v = saved(v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("norm2", dot("embedding", "embedding")), "vectors")
-    longest, n = v.select(F.max(F.size("embedding")), F.count("*")).first()
-    v = v.where(F.size("embedding") == (longest or 0))
+    common = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    longest = common["n"] if common else 0
+    v = v.where(F.size("embedding") == longest)
     most = v.select(F.max("norm2")).first()[0] or 0.0
     # A node for each different vector, with its k + 1 least ids: a query needs no more of them.
     ids = v.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    nodes = ids.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.min("norm2").alias("norm2"), F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
-    nodes = nodes.withColumn("x", F.concat(F.col("embedding").cast("array<double>"), F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(most) - F.col("norm2"))))))
-    nodes = saved(nodes, "vector-nodes")
-    n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("x").toPandas()["x"]
-    trees = forest(np.stack(sample) if len(sample) else np.zeros((0, 1)), n)
-    placed = nodes.select("node", "x").mapInArrow(_place(trees), "node long, x array<double>, leaves array<long>")
-    placed = saved(placed.withColumn("block", F.floor(F.col("leaves")[0] / BLOCK_LEAVES)), "vector-blocks")
-    graph = build(placed)
-    tops = [r.node for r in nodes.orderBy(F.desc("norm2"), "node").limit(TOPS).select("node").collect()]
+    nodes = ids.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.min("norm2").alias("norm2"), F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
+    nodes = saved(nodes.withColumn("last", F.sqrt(F.greatest(F.lit(0.0), F.lit(most) - F.col("norm2")))), "vector-nodes")
+    x = F.concat(F.col("embedding").cast("array<double>"), F.array("last"))
+    sample = _matrix(nodes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE).select(x.alias("x")).toArrow().column("x")) if longest else np.zeros((0, 1))
+    trees = forest(sample, nodes.count())
+    placed = nodes.select(F.col("first").alias("node"), x.cast("array<float>").alias("x")).mapInArrow(_place(trees), "node long, x array<float>, leaves array<long>")
+    placed = placed.withColumn("block", F.floor(F.col("leaves")[0] / BLOCK_LEAVES))
+    own = F.row_number().over(Window.partitionBy("block").orderBy("node")).cast("long")
+    placed = saved(placed.select(F.col("node").alias("first"), (F.shiftleft("block", BITS) + own).alias("node"), "x", "leaves"), "vector-blocks")
+    nodes = saved(nodes.join(placed.select("first", "node"), "first"), "numbered-nodes")
+    graph = build(placed.select("node", "x", "leaves"))
+    tops = [(r.node, [*r.embedding, r.last]) for r in nodes.orderBy(F.desc("norm2"), "first").limit(TOPS).collect()]
     asked = saved(v.where(is_query).join(nodes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "asked")
-    zero = F.transform("x", lambda c, i: F.when(i < (longest or 0), c).otherwise(F.lit(0.0)))
+    zero = F.transform("x", lambda c, i: F.when(i < longest, c).otherwise(F.lit(0.0).cast("float")))
     queries = saved(asked.select("node").distinct().join(placed, "node").select("node", zero.alias("x")), "queries")
-    pool = search(queries, graph, placed, tops)
+    pool = search(queries, graph, placed.select("node", "x"), tops)
     found = pool.select("node", F.explode(F.slice("ids", 1, 2 * k)).alias("id")).union(queries.select("node", F.col("node").alias("id")))
     found = found.join(nodes.select(F.col("node").alias("id"), F.col("embedding").alias("other"), "vec_ids"), "id").join(nodes.select("node", "embedding"), "node")
     found = found.select("node", F.struct((-dot("embedding", "other")).alias("away"), "vec_ids").alias("e")).groupBy("node").agg(F.collect_list("e").alias("e"))
