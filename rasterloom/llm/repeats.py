@@ -5,7 +5,8 @@ A byte goes if it lies in a string of `width` bytes that also starts anywhere el
 1. Each start of a window of `width` bytes is assigned to the anchor of the window: the leftmost of its
    substrings of width/2 bytes with the least hash. Equal windows have equal anchors at equal offsets, so only starts whose
    anchor hash occurs twice can be repeated, and neighbouring starts that share an anchor form one row.
-2. Rows whose whole range of bytes is equal to another row's are repeated whole (grouped counts in Spark).
+2. Rows whose whole range of bytes is equal to another row's are repeated whole (grouped counts in Spark). Equal is
+   what has the same BLAKE2 digest of 128 bits: nothing goes because of the short polynomial hashes alone.
 3. For the rest, the suffixes at the anchors are sorted, to the right and (reversed) to the left, by mergesort.
    Two suffixes are compared in logarithmic time: binary search over prefix polynomial hashes finds their
    common extension. Common extensions of neighbours are verified byte by byte. The start j bytes before an
@@ -17,6 +18,7 @@ Sorting the suffixes of every byte would need about nine times the input on disk
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import PrefixHash, binary_parts, mix64, narrow, read, row_key, same_row, saved, whole_groups
+from rasterloom.llm.common import PrefixHash, binary_parts, discard, mix64, narrow, read, row_key, same_row, saved, whole_groups
 
 WIDTH = 400
-#: Anchors with more different surroundings than this aren't sorted in one task; their windows are grouped by Spark.
+#: Anchors with more different surroundings than this aren't sorted in one task; their windows are grouped by Spark, by digests.
 TASK_ROWS = 50_000
 #: Starts for which one pass over a long text finds anchors.
 CHUNK = 1 << 22
@@ -41,8 +43,15 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """BLAKE2 digests of the strings [start, end), each together with a number; 2 x n uint64."""
+    view, also = memoryview(np.ascontiguousarray(data)), also.astype(np.int64)
+    found = b"".join(hashlib.blake2b(view[i:j], digest_size=16, salt=k.to_bytes(16, "little")).digest() for i, j, k in zip(start.tolist(), end.tolist(), also.tolist(), strict=True))
+    return np.frombuffer(found, np.uint64).reshape(-1, 2).T
+
+
 def anchor_rows(text: np.ndarray, width: int) -> np.ndarray:
-    """Rows (anchor hash, hash of the whole range, anchor position, first start, last start) of one text, 5 x n uint64."""
+    """Rows (anchor hash, digest of the whole range in two halves, anchor position, first start, last start) of one text, 6 x n uint64."""
     gram = width // 2
     parts = []
     for c in range(0, max(0, len(text) - width + 1), CHUNK):
@@ -54,9 +63,8 @@ def anchor_rows(text: np.ndarray, width: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(least) - 1]])
         p = least[first].astype(np.int64)
-        whole = mix64(mix64(h.of(first, last + width)) + (p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
-        parts.append(np.stack([grams[p], whole, (p + c).astype(np.uint64), (first + c).astype(np.uint64), (last + c).astype(np.uint64)]))
-    return np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.uint64)
+        parts.append(np.stack([grams[p], *digests(a, first, last + width, p - first), (p + c).astype(np.uint64), (first + c).astype(np.uint64), (last + c).astype(np.uint64)]))
+    return np.concatenate(parts, axis=1) if parts else np.zeros((6, 0), np.uint64)
 
 
 def _anchors(width: int):
@@ -65,8 +73,8 @@ def _anchors(width: int):
             data, at = binary_parts(batch.column(2))
             rows = [anchor_rows(data[i:j], width) for i, j in zip(at[:-1], at[1:], strict=True)]
             of = pa.array(np.repeat(np.arange(len(rows)), [x.shape[1] for x in rows]))
-            x = np.concatenate([np.zeros((5, 0), np.uint64), *rows], axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, x)], names=["doc_id", "text_key", "a", "f", "p", "first", "last"])
+            x = np.concatenate([np.zeros((6, 0), np.uint64), *rows], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, x)], names=["doc_id", "text_key", "a", "f", "g", "p", "first", "last"])
 
     return run
 
@@ -216,7 +224,7 @@ def _edges(width: int):
 
 
 def _windows(width: int):
-    """A row for each start of the rows: the offset to the anchor and the hash of the window."""
+    """A row for each start of the rows: the offset to the anchor and the digest of the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +233,10 @@ def _windows(width: int):
             n = np.diff(offsets) - width + 1
             of = np.repeat(np.arange(batch.num_rows), n)
             step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            h = mix64(PrefixHash(data).of(offsets[of] + step, offsets[of] + step + width)).astype(np.int64)
+            h = digests(data, offsets[of] + step, offsets[of] + step + width, np.zeros(len(of))).astype(np.int64)
             start = (batch.column("p").to_numpy() - before)[of] + step
             ids = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(ids), pa.array(before[of] - step), pa.array(h), *(batch.column(k).take(ids) for k in ("doc_id", "text_key", "single")), pa.array(start)], names=["a", "j", "h", "doc_id", "text_key", "single", "start"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(ids), pa.array(before[of] - step), pa.array(h[0]), pa.array(h[1]), *(batch.column(k).take(ids) for k in ("doc_id", "text_key", "single")), pa.array(start)], names=["a", "j", "h", "g", "doc_id", "text_key", "single", "start"])
 
     return run
 
@@ -237,12 +245,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, task_rows: int = TASK_RO
     """(doc_id, text_key, spans): byte ranges [lo, hi) of each text, some overlapping, that cover just the repeated strings."""
     d = docs.select(*row_key(), F.encode("text", "utf-8").alias("bytes"))
     kinds = "doc_id long, text_key long"
-    rows = saved(d.mapInArrow(_anchors(width), f"{kinds}, a long, f long, p long, first long, last long"), "anchors")
+    rows = saved(d.mapInArrow(_anchors(width), f"{kinds}, a long, f long, g long, p long, first long, last long"), "anchors")
     twice = saved(rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-twice")
-    rows = saved(rows.join(twice, "a", "left_semi"), "anchors-rows")
-    classes = rows.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "p", "first", "last")).alias("r"))
+    every, rows = rows, saved(rows.join(twice, "a", "left_semi"), "anchors-rows")
+    discard(every, twice)
+    classes = rows.groupBy("a", "f", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "p", "first", "last")).alias("r"))
     classes = saved(classes, "anchors-classes")
-    whole = rows.join(classes.where("n > 1").select("a", "f"), ["a", "f"]).select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("last") + width).alias("hi"))
+    whole = rows.join(classes.where("n > 1").select("a", "f", "g"), ["a", "f", "g"]).select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("last") + width).alias("hi"))
     mixed = classes.groupBy("a").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("least = 1").select("a", "size")
     listed = classes.join(mixed, "a").select("a", "size", (F.col("n") == 1).alias("single"), "r.*")
     listed = listed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "p", "first", "last", "single", "size")).alias("listed"))
@@ -254,10 +263,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, task_rows: int = TASK_RO
     around = saved(around, "anchors-bytes")
     large = narrow(saved(mixed.where(F.col("size") > task_rows).select("a"), "anchors-large"))
     edges = around.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a").mapInArrow(_edges(width), f"{kinds}, lo long, hi long")
-    starts = around.join(large, "a", "left_semi").mapInArrow(_windows(width), f"a long, j long, h long, {kinds}, single boolean, start long")
+    starts = around.join(large, "a", "left_semi").mapInArrow(_windows(width), f"a long, j long, h long, g long, {kinds}, single boolean, start long")
     starts = saved(starts, "anchors-starts")
-    again = starts.groupBy("a", "j", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = starts.where("single").join(again, ["a", "j", "h"], "left_semi").select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
+    again = starts.groupBy("a", "j", "h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    starts = starts.where("single").join(again, ["a", "j", "h", "g"], "left_semi").select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
     spans = whole.union(edges).union(starts)
     return spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
@@ -287,7 +296,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, task_rows: int = TASK_RO
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs: kept holds the bytes that stay.
 
     All occurrences of a repeated string go, in copies and within one text too. A null text counts as empty;
-    texts shorter than width stay whole; repeated rows are copies of each other; null ids stay; an empty table
+    texts shorter than width stay whole, and long ones are read in pieces of CHUNK starts; repeated rows are copies of each other; null ids stay; an empty table
     gives no rows; other columns are left out.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
