@@ -96,42 +96,49 @@ def matches(reference: Column, candidate: Column, tolerance: float = 0.25) -> Co
     return F.when(reference <= 0, candidate <= 1e-9).otherwise(candidate <= reference * (1 + tolerance))
 
 
-def unmatched(candidates: DataFrame, reference: DataFrame, cell: int, radius: float) -> DataFrame:
-    """Candidates (image_id, y, x, ...) without a reference point within radius (at most cell): a radius anti-join on grid cells."""
-    bucket = lambda c, s: F.floor(F.col(c) / F.lit(cell)) + s
+def unmatched(candidates: DataFrame, reference: DataFrame, cell: Column | int, radius: Column | float) -> DataFrame:
+    """Candidates (image_id, y, x, ...) without a reference point within radius (at most cell): a radius anti-join on grid cells.
+
+    Cell and radius may depend on columns of both, equal for all points of an image.
+    """
+    cell, radius = (v if isinstance(v, Column) else F.lit(v) for v in (cell, radius))
+    bucket = lambda c, s: F.floor(F.col(c) / F.col("__cell")) + s
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    r = reference.select("image_id", F.col("y").alias("__ry"), F.col("x").alias("__rx"), around.alias("s"))
+    r = reference.select("image_id", F.col("y").alias("__ry"), F.col("x").alias("__rx"), cell.alias("__cell"), around.alias("s"))
     r = r.select("image_id", "__ry", "__rx", bucket("__ry", F.col("s.a")).alias("__by"), bucket("__rx", F.col("s.b")).alias("__bx"))
-    c = candidates.withColumns({"__by": bucket("y", F.lit(0)), "__bx": bucket("x", F.lit(0))})
-    near = (F.col("y") - F.col("__ry")) * (F.col("y") - F.col("__ry")) + (F.col("x") - F.col("__rx")) * (F.col("x") - F.col("__rx")) <= radius * radius
+    c = candidates.withColumns({"__cell": cell, "__r": radius}).withColumns({"__by": bucket("y", F.lit(0)), "__bx": bucket("x", F.lit(0))})
+    near = (F.col("y") - F.col("__ry")) * (F.col("y") - F.col("__ry")) + (F.col("x") - F.col("__rx")) * (F.col("x") - F.col("__rx")) <= F.col("__r") * F.col("__r")
     same = (c["image_id"] == r["image_id"]) & (c["__by"] == r["__by"]) & (c["__bx"] == r["__bx"])
-    return c.join(r, same & near, "left_anti").drop("__by", "__bx")
+    return c.join(r, same & near, "left_anti").drop("__by", "__bx", "__cell", "__r")
 
 
-def stamp(points: DataFrame, radius: int) -> DataFrame:
+def stamp(points: DataFrame, radius: Column | int) -> DataFrame:
     """(image_id, y, x, mask): Gaussian stamps of points (image_id, h, w, y, x), summed and cut at 1. Offsets beyond the edge fall on it."""
-    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    d = points.select("image_id", "h", "w", "y", "x", step.alias("dy")).withColumn("dx", step)
-    w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / max(0.5 * radius * radius, 1e-6))
+    r = F.col("__r")
+    step = F.explode(F.sequence(-r, r))
+    d = points.withColumn("__r", radius if isinstance(radius, Column) else F.lit(radius))
+    d = d.select("image_id", "h", "w", "y", "x", "__r", step.alias("dy")).withColumn("dx", step)
+    w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / F.greatest(0.5 * r * r, F.lit(1e-6)))
     d = d.withColumn("wt", w).where(F.col("wt") >= 1e-3)
     at = lambda c, s, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, F.col(c) + F.col(s)))
     d = d.groupBy("image_id", at("y", "dy", "h").alias("y"), at("x", "dx", "w").alias("x")).agg(F.sum("wt").alias("mask"))
     return d.withColumn("mask", F.least(F.lit(1.0), F.col("mask")))
 
 
-def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFrame, strength: float = 1.0, factor: int = 1, most: int = MOST) -> DataFrame:
+def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFrame, strength: float = 1.0, most: int = MOST) -> DataFrame:
     """Blends the candidate field to the reference around its significant peaks that the reference doesn't have.
 
     A peak without a significant reference peak nearby counts only if it is still the height of its 5 x 5 surroundings.
+    Peaks of pooled images stand at block centres, so what is nearby and how far a stamp reaches grow with the pooling factor.
     """
-    radius = max(2, factor + 2)
+    radius = F.greatest(F.lit(2), F.col("factor") + 2)
     peaks = lambda d: significant(extrema(d, value, "peak", most), tau)
-    lone = unmatched(peaks(candidate), peaks(reference), max(4, 2 * factor + 4), radius)
+    lone = unmatched(peaks(candidate), peaks(reference), F.greatest(F.lit(4), 2 * F.col("factor") + 4), radius)
     step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    around = lone.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), F.col("value").alias("height"), step.alias("dy")).withColumn("dx", step)
+    around = lone.select("image_id", "factor", F.col("y").alias("py"), F.col("x").alias("px"), F.col("value").alias("height"), step.alias("dy")).withColumn("dx", step)
     around = around.withColumns({"y": F.col("py") + F.col("dy"), "x": F.col("px") + F.col("dx")})
-    top = around.join(candidate.select("image_id", "h", "w", "y", "x", value), ["image_id", "y", "x"]).groupBy("image_id", "h", "w", "py", "px", "height").agg(F.max(value).alias("top"))
-    spurious = top.join(tau, "image_id").where(F.col("top") >= F.col("height") - 0.02 * F.col("tau")).select("image_id", "h", "w", F.col("py").alias("y"), F.col("px").alias("x"))
+    top = around.join(candidate.select("image_id", "h", "w", "y", "x", value), ["image_id", "y", "x"]).groupBy("image_id", "h", "w", "factor", "py", "px", "height").agg(F.max(value).alias("top"))
+    spurious = top.join(tau, "image_id").where(F.col("top") >= F.col("height") - 0.02 * F.col("tau")).select("image_id", "h", "w", "factor", F.col("py").alias("y"), F.col("px").alias("x"))
     mask = stamp(spurious, radius)
     ref = reference.select("image_id", "y", "x", F.col(value).alias("__ref"))
     d = candidate.join(ref, ["image_id", "y", "x"]).join(mask, ["image_id", "y", "x"], "left")
@@ -142,11 +149,14 @@ def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFr
 def restore(field: DataFrame, peaks: DataFrame, value: str, tau: DataFrame, radius: int = 2) -> DataFrame:
     """Raises the field to lost peaks (image_id, y, x, value): where its surroundings stay a quarter tau below the height, a bump is put in.
 
-    Bumps act on the field as it came in, and where several meet the highest counts, so the order of peaks has no effect.
+    radius: how far around a peak is looked; a column factor of the peaks (that of their pooling) widens it to half of
+    itself and 2. Bumps act on the field as it came in, and where several meet the highest counts, so the order of peaks has no effect.
     """
-    radius = max(2, radius)
-    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    p = peaks.select("image_id", F.rint("y").cast("int").alias("py"), F.rint("x").cast("int").alias("px"), F.col("value").alias("apex"), step.alias("dy")).withColumn("dx", step)
+    pooled = F.col("factor") if "factor" in peaks.columns else F.lit(1)
+    r = F.col("__r")
+    step = F.explode(F.sequence(-r, r))
+    peaks = peaks.withColumn("__r", F.greatest(F.lit(max(2, radius)), F.floor(pooled / 2).cast("int") + 2))
+    p = peaks.select("image_id", "__r", F.rint("y").cast("int").alias("py"), F.rint("x").cast("int").alias("px"), F.col("value").alias("apex"), step.alias("dy")).withColumn("dx", step)
     p = p.withColumns({"y": F.col("py") + F.col("dy"), "x": F.col("px") + F.col("dx")})
     near = p.join(field.select("image_id", "y", "x", F.col(value).alias("__v")), ["image_id", "y", "x"])
     lost = near.groupBy("image_id", "py", "px", "apex").agg(F.max("__v").alias("top")).join(tau, "image_id").where(F.col("top") < F.col("apex") - 0.25 * F.col("tau"))

@@ -37,6 +37,9 @@ register("pipeline_quality", lambda s, d: per_image(pipeline.enhance(tables.part
 register("pipeline_alpha", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", detail=0.0, backend="nearest")), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.nearest(tables.PART_IMAGES, 'w * 2', 'h * 2')}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 2.0, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))
 _side = tables.SIDE * 3 // 2
 register("pipeline_fitted", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", longest_side=_side, detail_radius=5)), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.detail(sql.chained(tables.PART_IMAGES, RGB, 1.5, 1), RGB, 2, 1e-3, 0.25)}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 1.5, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))
+_most = tables.SIDE * tables.SIDE * 2
+_cut = int(tables.SIDE * 3 * (_most / (tables.SIDE * 3) ** 2) ** 0.5)
+register("pipeline_max_pixels", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d).drop("a"), pipeline.with_options("fast", scale=3.0, max_pixels=_most, detail=0.0, backend="nearest"))), per_image_sql(sql.nearest(tables.PART_IMAGES, f"{_cut}", f"{_cut}")))
 register(
     "pipeline_target",
     lambda s, d: pipeline.target(base.order_sizes(s, d).select("o_orderkey", "w", "h"), pipeline.Options(longest_side=1500, max_pixels=1_000_000)).select("o_orderkey", "out_w", "out_h", F.size("notes").alias("n_notes")),
@@ -51,7 +54,20 @@ register(
     lambda s, d: rounded(spectral.dft_rows(tables.part_images(s, d), "r"), ["image_id", "y", "k"], ["re", "im"]),
     sql.rounded(f"SELECT image_id, y, CAST(k AS INT) AS k, SUM(r * COS(-2 * PI() * k * x / w)) AS re, SUM(r * SIN(-2 * PI() * k * x / w)) AS im FROM ({tables.PART_IMAGES}), range(0, {tables.SIDE // 2 + 1}) t(k) GROUP BY image_id, y, k", ["image_id", "y", "k"], ["re", "im"]),
 )
-register("band_split", lambda s, d: per_image(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v"), ("b", "rx", "ry")))
+_n = tables.SIDE
+# The transform of each image by its definition, over the half spectrum; what a column of frequencies counts for is twice unless it is its own mirror.
+_SPLIT = f"""
+WITH p AS ({sql.add(tables.PART_IMAGES, {"v": sql.LUMA})}),
+f AS (SELECT CAST(fy AS INT) AS fy, CAST(fx AS INT) AS fx, CASE WHEN fy < {(_n + 1) // 2} THEN fy ELSE fy - {_n} END / {_n}e0 AS ky, fx / {_n}e0 AS kx, CASE WHEN fx IN (0, {_n // 2}) THEN 1e0 ELSE 2e0 END AS c FROM range(0, {_n}) a(fy), range(0, {_n // 2 + 1}) b(fx)),
+r AS (SELECT *, GREATEST(SQRT(kx * kx + ky * ky), 1e-6) AS r FROM f),
+g AS (SELECT *, {", ".join(f"EXP(-0.5e0 * POW(LN(r / {0.22 * 2.0**-k}) / LN(1.6e0), 2)) AS g{k}" for k in range(3))} FROM r),
+t AS (SELECT *, g0 + g1 + g2 AS total, GREATEST(1e0, max(g0 + g1 + g2) OVER ()) AS peak FROM g),
+m AS (SELECT fy, fx, c, kx / CASE WHEN fx = 0 AND fy = 0 THEN 1 ELSE r END AS qx, ky / CASE WHEN fx = 0 AND fy = 0 THEN 1 ELSE r END AS qy, band, CASE band WHEN 0 THEN g0 / peak WHEN 1 THEN g1 / peak WHEN 2 THEN g2 / peak ELSE GREATEST(0e0, 1 - total / peak) END AS g FROM t, (VALUES (-1), (0), (1), (2)) v(band)),
+s AS (SELECT image_id, fy, fx, SUM(v * COS(2 * PI() * (fy * y + fx * x) / {_n})) AS re, -SUM(v * SIN(2 * PI() * (fy * y + fx * x) / {_n})) AS im FROM p, f GROUP BY image_id, fy, fx),
+e AS (SELECT s.image_id, band, c * g / {_n * _n}e0 AS k, qx * CAST(band >= 0 AS INT) AS qx, qy * CAST(band >= 0 AS INT) AS qy, re * COS(a) - im * SIN(a) AS even, re * SIN(a) + im * COS(a) AS odd, y, x
+  FROM s JOIN m USING (fy, fx) JOIN (SELECT fy, fx, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 2 * PI() * (fy * y + fx * x) / {_n} AS a FROM f, range(0, {_n}) u(y), range(0, {_n}) w(x)) USING (fy, fx))
+SELECT image_id, y, x, band, SUM(k * even) AS b, SUM(k * qx * odd) AS rx, SUM(k * qy * odd) AS ry FROM e GROUP BY image_id, y, x, band"""
+register("band_split", lambda s, d: per_image(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v"), ("b", "rx", "ry")), per_image_sql(_SPLIT, ("b", "rx", "ry")))
 # The bands and the low pass add up to the field, so the sum of a split is the field again.
 register("band_sum", lambda s, d: rounded(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v", bands=1).groupBy("image_id", "y", "x").agg(F.sum("b").alias("v")), base.AT, ["v"]), sql.rounded(sql.add(tables.PART_IMAGES, {"v": sql.LUMA}), base.AT, ["v"]))
 register("phase_enlarge", lambda s, d: per_image(phase.enlarge(tables.part_images(s, d).withColumn("v", color.luminance()), 2.0), ("v",)))

@@ -40,7 +40,7 @@ def enlarge(field: DataFrame, scale: float, value: str = "v", bands: int = 3, re
     plain = written(resample.resize_chained(field.select("image_id", "h", "w", "y", "x", F.col(value).alias("v")), ["v"], scale))
     tau = written(topology.persistence_threshold(field, value, relative))
     out = written(topology.suppress(written(out), plain, "v", tau))
-    peaks = topology.significant(topology.extrema(field, value), tau).select("image_id", ((F.col("y") + 0.5) * scale - 0.5).alias("y"), ((F.col("x") + 0.5) * scale - 0.5).alias("x"), "value")
+    peaks = topology.significant(topology.extrema(field, value), tau).select("image_id", ((F.col("y") + 0.5) * scale - 0.5).alias("y"), ((F.col("x") + 0.5) * scale - 0.5).alias("x"), "value", "factor")
     return topology.restore(out, peaks, "v", tau)
 
 

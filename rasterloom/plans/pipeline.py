@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, sizing
+from rasterloom.operators import kernels, resample, tiling
 from rasterloom.operators import neighbourhood as near
-from rasterloom.operators import resample, tiling
 from rasterloom.plans import phase
 
 RGB = ["r", "g", "b"]
@@ -64,6 +66,9 @@ PRESETS = {
     "quality": Options(denoise=0.035, chroma_denoise=1.2, detail=0.40, detail_radius=5, detail_eps=8e-4, auto_levels=0.25, tile_overlap=32),
 }
 
+#: Pixels for which there is a task at least, where tasks work on whole images.
+TASK_PIXELS = 1 << 17
+
 Backend = Callable[[DataFrame, float], DataFrame]
 
 
@@ -108,12 +113,51 @@ def _sized(px: DataFrame, opts: Options) -> DataFrame:
     return d.withColumns({"__scale": F.when(uniform, (sx + sy) / 2).otherwise(F.sqrt(sx * sy)), "__gain": F.greatest(F.lit(1.0), sx), "__ratio": F.greatest(sx, sy)})
 
 
+def _in_one_task(px: DataFrame, opts: Options, parts: int) -> DataFrame:
+    """The enhancement of images of which each fits into a task, dealt out by image to so many tasks."""
+    names = [*RGB, *(["a"] if "a" in px.columns else [])]
+    keys = ["out_w", "out_h", "__scale", "__gain"]
+    d = _sized(px.select("image_id", "h", "w", "y", "x", *(F.col(c).cast("double").alias(c) for c in names)), opts).drop("__ratio")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in kernels.whole_images(batches):
+            for (w, h, scale, gain), ids, v in kernels.by_size(table, names, keys):
+                out = kernels.enhanced(v[:3], opts, w, h, scale, gain)
+                if "a" in names:
+                    a = kernels.nearest(v[3:], w, h) if opts.alpha_mode == "nearest" else kernels.resize(v[3:], w, h).clip(0, 1)
+                    out = np.concatenate([out, a])
+                yield kernels.pixels(ids, out, names)
+
+    kind = px.schema["image_id"].dataType.simpleString()
+    d = d.repartition(parts, "image_id").sortWithinPartitions("image_id")
+    return d.mapInArrow(run, f"image_id {kind}, h int, w int, y int, x int, {', '.join(f'{c} double' for c in names)}")
+
+
 def enhance(px: DataFrame, opts: Options, backend: Backend | None = None) -> DataFrame:
     """px (image_id, h, w, y, x, r, g, b[, a]) enhanced: denoise, levels, enlarge, fit, chroma, detail, sharpen, colour, clip.
 
     Sizes are those of target(), for every option. The backend runs at the scale of both axes (or the root of the area's),
-    then images are fitted. Alpha is enlarged to the same size by itself and joined. Radii grow with the enlargement, so
-    there is a branch of the plan for each different enlargement; sizes are counted first. Sharpening is done once.
+    then images are fitted. Alpha is enlarged to the same size by itself. Sharpening is done once. Images of at most
+    kernels.MOST pixels, before and after, are worked on as arrays, each in one task; larger ones, and backends other than
+    classical and nearest, as pixels. Sizes are counted first.
+    """
+    if backend is None and opts.backend in ("classical", "nearest"):
+        pixels = lambda w, h: F.col(w).cast("long") * F.col(h)
+        fits = F.greatest(pixels("w", "h"), pixels("out_w", "out_h")) <= kernels.MOST
+        every, some, n = target(px.groupBy("h", "w").count(), opts).select(F.min(fits), F.max(fits), F.sum("count")).first()
+        parts = -(-(n or 1) // TASK_PIXELS)
+        if every is not False:
+            return _in_one_task(px, opts, parts)
+        if some:
+            sized = target(px, opts)
+            return _in_one_task(sized.where(fits).select(*px.columns), opts, parts).unionByName(_by_pixels(sized.where(~fits).select(*px.columns), opts, None))
+    return _by_pixels(px, opts, backend)
+
+
+def _by_pixels(px: DataFrame, opts: Options, backend: Backend | None) -> DataFrame:
+    """The enhancement as a chain of DataFrame transforms.
+
+    Alpha is joined. Radii grow with the enlargement, so there is a branch of the plan for each different enlargement.
     """
     rgb = px.select("image_id", "h", "w", "y", "x", *RGB)
     sizes = _sized(px.select("image_id", "h", "w").distinct(), opts)
