@@ -26,7 +26,7 @@ WORDS, BANDS, ROWS, MANTISSA = 5, 40, 5, 10
 BUCKETS = BANDS * ROWS
 #: A link has 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Candidates with a lower estimate aren't verified; 4.5 standard errors of the estimate below the threshold.
+#: Candidates with a lower estimate (4.5 standard errors below the threshold) are left to the comparison in blocks.
 LEAST_ESTIMATE = 0.61
 #: The sets of about so many nodes are compared with one another in a task.
 BLOCK = 512
@@ -135,20 +135,21 @@ def _sketch(sets: bool):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) that their sizes or their full sets decide, and whether they are linked; those of a low estimate are left open."""
     for batch in batches:
         n, m = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
         regs = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in ("registers_u", "registers_v")]
+        sized = np.minimum(n, m) * 100 >= THRESHOLD * np.maximum(n, m)
         near = estimate((regs[0] == regs[1]).mean(axis=1), n, m) >= LEAST_ESTIMATE
-        near &= np.minimum(n, m) * 100 >= THRESHOLD * np.maximum(n, m)
-        keep = []
-        for i in np.flatnonzero(near):
+        link = np.zeros(len(n), bool)
+        for i in np.flatnonzero(near & sized):
             a, b = (np.frombuffer(batch.column(k)[int(i)].as_buffer(), np.uint64) for k in ("hashes_u", "hashes_v"))
             both = np.sort(np.concatenate([a, b]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= THRESHOLD * (len(a) + len(b) - common):
-                keep.append(i)
-        ids = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("u").take(ids), batch.column("v").take(ids)], names=["u", "v"])
+                link[i] = True
+        ids = pa.array(np.flatnonzero(near | ~sized))
+        yield pa.RecordBatch.from_arrays([batch.column("u").take(ids), batch.column("v").take(ids), pa.array(link).take(ids)], names=["u", "v", "link"])
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -225,18 +226,15 @@ def duplicates(docs: DataFrame) -> DataFrame:
     full = d.join(narrow(candidates), d["doc_id"] == candidates["node"], "left_semi").mapInArrow(_sketch(True), "node long, n long, registers binary, hashes binary")
     full = saved(full.where("n > 0"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (full.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in full.columns)) for k in ("u", "v"))
-        return saved(pairs.join(a, "u").join(b, "v").mapInArrow(_verify, "u long, v long").distinct(), "links")
-
     hubs = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
     hubs = hubs.groupBy("node").agg(F.min(F.struct(-F.col("bands"), "hub")).alias("h")).select(F.col("h.hub").alias("u"), F.col("node").alias("v"))
-    tried = saved(hubs, "pairs")
-    links = verified(tried)
+    a, b = (full.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in full.columns)) for k in ("u", "v"))
+    tried = saved(hubs.join(a, "u").join(b, "v").mapInArrow(_verify, "u long, v long, link boolean"), "decided")
+    links = tried.where("link").select("u", "v").distinct()
     open_ = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = saved(open_, "open")
     groups = open_.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("u"), F.max("node").alias("v")).where("a < b")
-    # Bands with the same nodes are looked at once; a pair that was verified already isn't again.
+    # Bands with the same nodes are looked at once; a pair that was decided already isn't again.
     groups = groups.groupBy("size", "who").agg(F.min("key").alias("key"), F.min("u").alias("u"), F.max("v").alias("v"))
     tried = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(2).cast("long").alias("size"))
     groups = saved(groups.join(tried, ["u", "v", "size"], "left_anti").select("key", "size"), "open-groups")

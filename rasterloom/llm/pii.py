@@ -8,6 +8,7 @@ to the source. Such a span is added unless it lies within a base span of its kin
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -166,9 +167,12 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
         r = Rewritten(text)
         for step in (look_alikes, spelled_digits, at_and_dot):
             step(r)
+        # Base spans of a kind don't overlap: only the last one that starts at or before a span can hold it.
+        own = {k: [(x, y) for kind, x, y in base if kind == k] for k in KINDS}
         for kind, a, b in find(r.text):
             a, b = int(r.start[a]), int(r.end[b - 1])
-            if not any(k == kind and x <= a and b <= y for k, x, y in base):
+            i = bisect.bisect_right(own[kind], (a, len(text))) - 1
+            if i < 0 or own[kind][i][1] < b:
                 everything.append((kind, a, b))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(set(everything), key=order)
@@ -178,7 +182,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """docs (all its columns, of which text is read) with base and spans: arrays of (kind, start, end) in code points.
 
     base holds the undisguised spans, spans these and the added ones. A null or empty text has none; very long
-    texts are read whole. An empty table gives no rows. Columns of these names are replaced.
+    texts are read whole, but a disguised address of more than _REACH characters to either side of its at or dot isn't
+    found. Repeated rows have the same spans each. An empty table gives no rows. Columns of these names are replaced.
     """
     rest = [c for c in docs.columns if c not in ("base", "spans")]
     kind = "array<struct<kind:string,start:int,end:int>>"

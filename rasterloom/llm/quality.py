@@ -181,18 +181,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "label", "lines"])
 
 
+def sample(docs: DataFrame, labels: DataFrame, label: str, documents: int) -> list:
+    """(doc_id, label, lines) of at most `documents` labelled documents of at most SAMPLE_BYTES bytes; of an id's rows, one of the least text hash."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("doc_id", F.col("label").cast("int").alias("label"))
+    d = docs.select("doc_id", F.encode("text", "utf-8").alias("bytes")).where(F.length("bytes") <= SAMPLE_BYTES)
+    d = d.join(narrow(saved(known, "labelled")), "doc_id")
+    d = d.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("bytes").alias("h"), "bytes")).alias("least")).select("doc_id", "least.bytes", "label")
+    return sorted(d.mapInArrow(_features, "doc_id long, label int, lines binary").collect(), key=lambda r: r.doc_id)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", documents: int = SAMPLE_DOCUMENTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits the model on a bounded sample: at most `documents` labelled documents of at most SAMPLE_BYTES bytes.
 
     Labels: ids whose crc32 as text isn't a multiple of 5; null labels and ids with two different ones are left
     out. Without any usable label the model scores each document 0.5.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("doc_id", F.col("label").cast("int").alias("label"))
-    d = docs.select("doc_id", F.encode("text", "utf-8").alias("bytes")).where(F.length("bytes") <= SAMPLE_BYTES)
-    rows = d.join(narrow(saved(known, "labelled")), "doc_id").mapInArrow(_features, "doc_id long, label int, lines binary")
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.lines)))[: 2 * documents]
-    rows = [r for r in rows if len(r.lines)]
+    rows = [r for r in sample(docs, labels, label, documents) if len(r.lines)]
     good = np.array([r.label for r in rows], np.int64)
     if not len(rows):
         return np.zeros(WIDE), np.zeros((2, 2)), 0.5
@@ -210,7 +215,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     """docs (all its columns, of which text is read) with a column score: 0 to 1, higher for better text.
 
     A null, empty or blank text scores as the share of good documents in the sample. Equal texts have equal
-    scores. An empty table gives no rows.
+    scores, so repeated rows have the same one. Very long texts are read whole, in one task with a pass over all its
+    lines. An empty table gives no rows, and a column of the name score is replaced.
     """
     rest = [c for c in docs.columns if c != "score"]
 

@@ -1,14 +1,16 @@
 """Encoding and decoding with a SentencePiece model by shortest paths in a weighted finite-state transducer.
 
-The normaliser (space to U+2581, one put before the text), the pieces and the byte fallback are compiled into
-arcs. The model merges pairs by score, and the least sum of scores isn't its segmentation; so the arcs are
-composed with an acceptor of neighbouring pieces: a piece may follow another only if the merges of the two
-texts end in just those two pieces. A path of such arcs is the model's own segmentation: the first merge that crossed a
-border between two pieces would cross it in the text of these two alone too. The shortest path in the tropical
-semiring is taken; as the acceptor leaves one path to each place, that is the accepted path.
+The model's normaliser, its pieces and the byte fallback are compiled into a transducer. An arc reads the characters of
+a piece, writes its id and weighs its score with the sign changed; a character without a piece has an arc that writes its
+bytes and weighs FALLBACK. The model merges pairs by score, and the least sum of weights of arcs alone isn't its
+segmentation; so they are composed with an acceptor of neighbouring pieces: a piece may follow another only if the merges
+of the two texts end in just those two pieces. A path of such arcs is the model's own segmentation: the first merge that
+crossed a border between two pieces would cross it in the text of these two alone too. The composition with a text is
+relaxed place by place in the tropical semiring: sums along paths, the least where paths meet.
 
 No piece holds U+2581 after another character, so merges never cross such borders: texts fall into parts U+2581+ other*.
-Nor does a piece of the model at hand join Latin letters to other ASCII, so a part falls into sections there.
+Nor does a piece of the model at hand join Latin letters to other ASCII, so a part falls into sections there. Parts and
+sections that come again are composed once.
 """
 
 from __future__ import annotations
@@ -26,20 +28,38 @@ from rasterloom.llm.common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Weight of a character that is written as bytes.
+FALLBACK = 1e9
 #: Entries of the caches of parts and of neighbours; they are emptied when full.
-PARTS, NEIGHBOURS = 600_000, 500_000
+PARTS, NEIGHBOURS = 600_000, 1_000_000
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[\x00-@\[-`{-\x7f]"
 #: Borders between Latin letters and other ASCII.
 _BORDER = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 
 
+_NONE: dict = {}
+
+
+def normaliser(normalize) -> tuple[str, dict[int, str]]:
+    """The text put before others, and what each changed character becomes, read off a model's own normaliser.
+
+    A normaliser that drops or joins spaces or looks at more than one character has no such table: that raises an error.
+    """
+    prefix = normalize("a")[:-1]
+    one = lambda c: normalize(f"a{c}a")[len(prefix) + 1 : -1]
+    changed = {i: out for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (out := one(chr(i))) != chr(i)}
+    if normalize(" a  b e\u0301 ") != prefix + " a  b e\u0301 ".translate(changed):
+        raise ValueError("the model's normaliser isn't a table of single characters")
+    return prefix, changed
+
+
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, int]], bytes_: list[int]):
-        """pieces: (text, score, id); bytes_: the id of each of the 256 bytes."""
+    def __init__(self, pieces: list[tuple[str, float, int]], bytes_: list[int], prefix: str = SPACE, changed: dict[int, str] | None = None):
+        """pieces: (text, score, id); bytes_: the id of each of the 256 bytes; prefix and changed: the normaliser's."""
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces):
             raise ValueError("a piece holds U+2581 after another character")
-        self.pieces, self.bytes = pieces, bytes_
+        self.pieces, self.bytes, self.prefix, self.changed = pieces, bytes_, prefix, changed or {32: SPACE}
         #: Whether no piece stands across a _BORDER.
         self.bordered = not any(_BORDER.search(p) for p, _, _ in pieces)
         self.score = {p: s for p, s, _ in pieces}
@@ -50,8 +70,10 @@ class Transducer:
         for p, _, _ in pieces:
             if len(p) > 2:
                 lengths.setdefault(p[:3], set()).add(len(p))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) + (2, 1) for k, v in lengths.items()}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.lengths = {k: tuple(sorted(v)) + (2, 1) for k, v in lengths.items()}
+        #: By the piece before: the weight of an arc, or None if the acceptor refuses it.
+        self.composed: dict[str, dict[str, float | None]] = {}
+        self.known = 0
         self.merges: dict[str, tuple[list, list, list, bool]] = {}
         self.parts, self.sections = _Parts(self), _Sections(self)
 
@@ -64,10 +86,10 @@ class Transducer:
         names = [model.id_to_piece(i) for i in n]
         pieces = [(names[i], model.get_score(i), i) for i in n if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         place = {p: i for i, p in enumerate(names)}
-        return cls(pieces, [place[f"<0x{b:02X}>"] for b in range(256)])
+        return cls(pieces, [place[f"<0x{b:02X}>"] for b in range(256)], *normaliser(model.normalize))
 
     def __reduce__(self):
-        return Transducer, (self.pieces, self.bytes)
+        return Transducer, (self.pieces, self.bytes, self.prefix, self.changed)
 
     def merges_of(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
         """The merges that make a piece of its characters: their scores, the first and last parts before and after each, and whether one part is left.
@@ -91,14 +113,15 @@ class Transducer:
             self.merges[piece] = scores, first, last, len(s) == 1
         return self.merges[piece]
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether the merges of the text a + b end in the pieces a and b: both are made, and no merge across their border comes first."""
-        k = (a, b)
-        found = self.follows.get(k)
-        if found is None:
-            if len(self.follows) >= NEIGHBOURS:
-                self.follows.clear()
-            found = self.follows[k] = self._stay_apart(a, b)
+    def weight(self, last: str, arc: str) -> float | None:
+        """The weight of an arc after a piece in the composition; None if there is no such arc or the acceptor refuses it."""
+        if self.known >= NEIGHBOURS:
+            self.composed.clear()
+            self.known = 0
+        score = self.score.get(arc)
+        found = None if score is None and len(arc) > 1 or not self._stay_apart(last, arc) else FALLBACK if score is None else -score
+        self.composed.setdefault(last, {})[arc] = found
+        self.known += 1
         return found
 
     def _stay_apart(self, a: str, b: str) -> bool:
@@ -123,28 +146,37 @@ class Transducer:
                 j += 1
 
     def shortest_path(self, part: str) -> list[str]:
-        """The pieces (or single characters without a piece) of a part.
+        """The pieces (or single characters without a piece) on the path of least weight through a part.
 
-        A state is a place in the part and the piece that ends there; the acceptor leaves at most one for each place. So
-        the accepted path is searched depth first, longest arcs first, and a place that leads nowhere is dead for good.
+        A state is a place in the part and the piece that ends there. The segmentation of a text begins with that of each
+        text that it begins with up to a border, so the acceptor leaves one piece for each place, and a place is a state.
         """
-        n, score, lengths, follow = len(part), self.score, self.lengths, self.may_follow
-        out: list[str] = []
-        at, last, most, dead = 0, "", n, set()
-        while at < n:
+        n, score, lengths, composed = len(part), self.score, self.lengths, self.composed
+        least: list[float | None] = [None] * (n + 1)
+        arcs = [""] * (n + 1)
+        least[0] = 0.0
+        for at in range(n):
+            sum_ = least[at]
+            if sum_ is None:
+                continue
+            last = arcs[at]
+            after = composed.get(last, _NONE)
             for k in lengths.get(part[at : at + 3], (2, 1)):
-                if k > most or k > n - at:
+                if at + k > n:
                     continue
                 arc = part[at : at + k]
-                if (k == 1 or arc in score) and at + k not in dead and follow(last, arc):
-                    out.append(arc)
-                    at, last, most = at + k, arc, n
-                    break
-            else:
-                dead.add(at)
-                arc = out.pop()
-                at, last, most = at - len(arc), out[-1] if out else "", len(arc) - 1
-        return out
+                if k > 1 and arc not in score:
+                    continue
+                w = after[arc] if arc in after else self.weight(last, arc)
+                if w is not None:
+                    to, w = at + k, sum_ + w
+                    if least[to] is None or w < least[to]:
+                        least[to], arcs[to] = w, arc
+        out, at = [], n
+        while at:
+            out.append(arcs[at])
+            at -= len(arcs[at])
+        return out[::-1]
 
     def section(self, text: str) -> bytes:
         ids: list[int] = []
@@ -156,12 +188,13 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        parts = _PARTS.findall(SPACE + text.replace(" ", SPACE))
+        text = text.replace(" ", SPACE) if len(self.changed) == 1 and self.changed.get(32) == SPACE else text.translate(self.changed)
+        parts = _PARTS.findall(self.prefix + text)
         return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text: what went in, with U+2581 turned to spaces."""
-        return b"".join(map(self.text.__getitem__, ids.tolist())).decode(errors="replace")[1:]
+        return b"".join(map(self.text.__getitem__, ids.tolist())).decode(errors="replace")[len(self.prefix) :]
 
 
 class _Parts(dict):

@@ -31,3 +31,46 @@ def test_documents(spark, both):
     assert rows[1].ids == both[1].encode("Some text") and rows[1].round_trip
     assert rows[None].ids == [] and rows[3].ids == [] and rows[None].round_trip
     assert wfst.encode(df.limit(0)).count() == 0
+
+
+def merged(t, text):
+    """The pieces that merging pairs by score leaves of a text."""
+    s = list(text)
+    while True:
+        pairs = [(t.score[a + b], -i) for i, (a, b) in enumerate(zip(s, s[1:])) if a + b in t.score]
+        if not pairs:
+            return s
+        i = -max(pairs)[1]
+        s[i : i + 2] = [s[i] + s[i + 1]]
+
+
+def segmentations(t, text):
+    if not text:
+        yield []
+    for k in range(1, len(text) + 1):
+        if k == 1 or text[:k] in t.score:
+            for rest in segmentations(t, text[k:]):
+                yield [text[:k], *rest]
+
+
+def test_path_is_the_least_of_all_accepted_ones(both):
+    t, _ = both
+    r = random.Random(5)
+    letters = "aeintrsohl▁"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 11))).lstrip("▁") for _ in range(150)]
+    many = 0
+    for text in filter(None, ("▁" * (i % 2) + x.replace("▁", "") for i, x in enumerate(texts))):
+        accepted = []
+        for path in segmentations(t, text):
+            if all(merged(t, a + b) == [a, b] for a, b in zip(path, path[1:])) and merged(t, path[0]) == path[:1]:
+                accepted.append((sum(-t.score[p] if p in t.score else wfst.FALLBACK for p in path), path))
+        assert t.shortest_path(text) == min(accepted)[1]
+        many += sum(1 for _ in segmentations(t, text)) > 20
+    assert many > 30
+
+
+def test_normaliser():
+    table = {" ": "_", "A": "a", "½": "1/2"}
+    assert wfst.normaliser(lambda s: "^" + "".join(table.get(c, c) for c in s)) == ("^", {ord(k): v for k, v in table.items()})
+    with pytest.raises(ValueError):
+        wfst.normaliser(lambda s: " ".join(s.split()))
