@@ -50,8 +50,10 @@ def batch(spark: SparkSession, inputs: list[str], out: str, opts: Options, suffi
     px = images.load(spark, inputs).drop("path").join(todo.select("image_id"), "image_id", "left_semi")
     has_alpha = bool(px.where("a is not null").limit(1).count())
     made = images.encode_png(enhance(px.withColumn("a", F.coalesce("a", F.lit(1.0))) if has_alpha else px.drop("a"), opts))
-    images.write_files(made.join(todo, "image_id"), out, "name")
-    done = plan.withColumn("status", F.when(F.col("status") == "pending", "ok").otherwise(F.col("status")))
+    # A file whose header was fine but whose pixels can't be decoded has no output: that is an error too.
+    names = tables.written(images.save_files(made.join(todo, "image_id"), out, "name")).withColumn("made", F.lit(True))
+    done = plan.withColumn("name", F.regexp_extract("target", r"([^/]+)\.png$", 1)).join(names, "name", "left")
+    done = done.withColumn("status", F.when(F.col("status") != "pending", F.col("status")).when(F.col("made"), "ok").otherwise("error"))
     totals = {r.status: r.n for r in jobs.batch_report(done).collect()}  # at most three rows
     plan.unpersist()  # else another batch on the same folders would see this one's files
     return totals

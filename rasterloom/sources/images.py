@@ -108,26 +108,32 @@ def encode_png(px: DataFrame, gray: bool = False) -> DataFrame:
     return px.select("image_id", "h", "w", "y", "x", *u8).groupBy("image_id").applyInPandas(one, "image_id long, png binary")
 
 
-def write_files(files: DataFrame, folder: str, name: str = "image_id", content: str = "png", extension: str = ".png") -> int:
-    """Writes each row's bytes to folder (a shared one) under its name: first to a temporary name, then moved, so that no file is ever half there."""
+def save_files(files: DataFrame, folder: str, name: str = "image_id", content: str = "png", extension: str = ".png") -> DataFrame:
+    """(name) of each row whose bytes were written to folder (a shared one) under its name: first to a temporary name, then moved,
+    so that no file is ever half there. Files are written when the result is read, and again if it is read again."""
 
-    def save(rows: Iterator) -> None:
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
-        for r in rows:
-            path = os.path.join(folder, f"{r[name]}{extension}")
-            part = f"{path}.{os.getpid()}.part"
-            try:
-                with open(part, "wb") as f:
-                    f.write(r[content])
-                os.replace(part, path)
-            finally:
-                if os.path.exists(part):
-                    os.remove(part)
-
-    files = files.select(name, content)
-    files.foreachPartition(save)
-    return files.count()
+        for p in batches:
+            for n, c in zip(p["name"], p["content"], strict=True):
+                path = os.path.join(folder, f"{n}{extension}")
+                part = f"{path}.{os.getpid()}.part"
+                try:
+                    with open(part, "wb") as f:
+                        f.write(c)
+                    os.replace(part, path)
+                finally:
+                    if os.path.exists(part):
+                        os.remove(part)
+            yield p[["name"]]
+
+    return files.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).mapInPandas(save, "name string")
+
+
+def write_files(files: DataFrame, folder: str, name: str = "image_id", content: str = "png", extension: str = ".png") -> int:
+    """Writes as save_files does, in one pass; returns how many."""
+    return save_files(files, folder, name, content, extension).count()
 
 
 def outputs(inputs: DataFrame, suffix: str = "_upscaled", extension: str | None = None) -> DataFrame:
