@@ -9,12 +9,13 @@ one node that stands for its least ids.
    by a hash: the start is then worse and takes more rounds to mend.
 2. NN-descent: each node's list is joined with the lists of its neighbours (and of the nodes that list it); the
    neighbours of neighbours are scored and the best stay. Rounds go on until few entries change.
-3. Search: each query starts from its node's list and the nodes of greatest norm; again and again the lists of the best
-   nodes that weren't opened yet are scored, until the best BEAM are all open.
+3. Search: each query starts from the best of its node's list, the nodes of greatest norm and a bounded number of nodes
+   from all over, as clusters may have no links between them; again and again the lists of the best nodes that weren't
+   opened yet are scored, until the best BEAM are all open.
 
 Scores are computed by blocks of nodes: candidate ids travel to the block that holds their vectors, with one copy of
-the asking vector for each block, and never a vector for each pair. A node's number names its block. The few nodes of
-greatest norm are scored where the queries are, as each query asks them. Graph and search use single precision;
+the asking vector for each block, and never a vector for each pair. A node's number names its block. The nodes
+that every query starts from are scored where the queries are. Graph and search use single precision;
 the scores returned don't.
 """
 
@@ -36,8 +37,8 @@ TREES, LEAF, SAMPLE = 6, 256, 8192
 BLOCK_LEAVES = 64
 #: Bits of a node's number below its block's.
 BITS = 32
-#: Nodes that a search keeps for each query, and nodes of greatest norm that it starts from.
-BEAM, TOPS = 128, 16
+#: Nodes that a search keeps for each query; nodes of greatest norm and nodes from all over (by a hash) that it starts from.
+BEAM, TOPS, ENTRIES = 128, 16, 1024
 #: The share of changed entries below which the rounds of NN-descent end.
 CHANGED = 0.05
 #: Asking vectors of a block that are scored in one task; more are dealt to copies of the block.
@@ -211,17 +212,19 @@ def scored(wanted: DataFrame, asking: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("node", "ids", "x", "block", "salt").toDF("node", "ids", "x", "block", "salt").groupBy("block", "salt").cogroup(held.groupBy("held", "copy")).applyInArrow(_score, _LISTS)
 
 
-def scored_here(tops: list[tuple[int, list[float]]]):
-    """Lists of the nodes tops (number, vector) for each row (node, x), itself left out."""
-    at, y = np.array([t[0] for t in tops], np.int64), np.array([t[1] for t in tops], np.float64)
+def scored_here(at: np.ndarray, y: np.ndarray):
+    """Lists of the best of the nodes at (vectors y) for each row (node, x), itself left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 node = b.column("node").to_numpy()
                 sims = _matrix(b.column("x")).astype(np.float64) @ y.T
-                of, k = np.nonzero(node[:, None] != at[None, :])
-                yield _lists(node, of, at[k], sims[of, k], np.zeros(len(of), bool))
+                sims[node[:, None] == at[None, :]] = -np.inf
+                best = _best(sims, BEAM)
+                found = np.take_along_axis(sims, best, axis=1)
+                of, k = np.nonzero(found > -np.inf)
+                yield _lists(node, of, at[best[of, k]], found[of, k], np.zeros(len(of), bool))
 
     return run
 
@@ -260,11 +263,11 @@ def build(nodes: DataFrame) -> DataFrame:
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tops: list[tuple[int, list[float]]]) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Pools (node, ids, sims, open) of the BEAM best nodes for each query (node, x), itself left out."""
     links = saved(both_ways(graph, LIST), "search-links")
     start = scored(queries.select("node").join(graph.select("node", "ids"), "node"), queries, nodes)
-    pool = saved(merged(start.union(queries.mapInArrow(scored_here(tops), _LISTS)), BEAM), "pool")
+    pool = saved(merged(start.union(queries.mapInArrow(scored_here(*entries), _LISTS)), BEAM), "pool")
     while True:
         opened = pool.select("node", F.explode(F.filter(F.arrays_zip("ids", "open"), lambda e: ~e["open"])).alias("e")).select("node", F.col("e.ids").alias("id"))
         wanted = neighbours_of(opened, links).join(pool.select("node", F.col("ids").alias("had")), "node")
@@ -308,11 +311,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     placed = saved(placed.select(F.col("node").alias("first"), (F.shiftleft("block", BITS) + own).alias("node"), "x", "leaves"), "vector-blocks")
     nodes = saved(nodes.join(placed.select("first", "node"), "first"), "numbered-nodes")
     graph = build(placed.select("node", "x", "leaves"))
-    tops = [(r.node, [*r.embedding, r.last]) for r in nodes.orderBy(F.desc("norm2"), "first").limit(TOPS).collect()]
+    some = nodes.select("node", x.alias("x"), "norm2", "first")
+    some = some.orderBy(F.desc("norm2"), "first").limit(TOPS).union(some.orderBy(F.xxhash64("first"), "first").limit(ENTRIES)).dropDuplicates(["node"]).toArrow()
+    entries = (some.column("node").to_numpy(), _matrix(some.column("x"))) if some.num_rows else (np.zeros(0, np.int64), np.zeros((0, longest + 1)))
     asked = saved(v.where(is_query).join(nodes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "asked")
     zero = F.transform("x", lambda c, i: F.when(i < longest, c).otherwise(F.lit(0.0).cast("float")))
     queries = saved(asked.select("node").distinct().join(placed, "node").select("node", zero.alias("x")), "queries")
-    pool = search(queries, graph, placed.select("node", "x"), tops)
+    pool = search(queries, graph, placed.select("node", "x"), entries)
     found = pool.select("node", F.explode(F.slice("ids", 1, 2 * k)).alias("id")).union(queries.select("node", F.col("node").alias("id")))
     found = found.join(nodes.select(F.col("node").alias("id"), F.col("embedding").alias("other"), "vec_ids"), "id").join(nodes.select("node", "embedding"), "node")
     found = found.select("node", F.struct((-dot("embedding", "other")).alias("away"), "vec_ids").alias("e")).groupBy("node").agg(F.collect_list("e").alias("e"))
