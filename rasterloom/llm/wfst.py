@@ -39,6 +39,7 @@ _BORDER = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 
 
 _NONE: dict = {}
+_UNKNOWN = object()
 
 
 def normaliser(normalize) -> tuple[str, dict[int, str]]:
@@ -65,6 +66,8 @@ class Transducer:
         self.score = {p: s for p, s, _ in pieces}
         self.ids = {p: i for p, _, i in pieces}
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(bytes_)}
+        #: What an arc writes, as 32-bit numbers.
+        self.written = _Written({p: np.int32(i).tobytes() for p, i in self.ids.items()}, bytes_)
         #: Lengths of the pieces of three characters and more by their first three, the longest first.
         lengths: dict[str, set[int]] = {}
         for p, _, _ in pieces:
@@ -164,13 +167,17 @@ class Transducer:
             for k in lengths.get(part[at : at + 3], (2, 1)):
                 if at + k > n:
                     continue
-                arc = part[at : at + k]
-                if k > 1 and arc not in score:
-                    continue
-                w = after[arc] if arc in after else self.weight(last, arc)
+                to = at + k
+                arc = part[at:to]
+                w = after.get(arc, _UNKNOWN)
+                if w is _UNKNOWN:
+                    if k > 1 and arc not in score:
+                        continue
+                    w = self.weight(last, arc)
                 if w is not None:
-                    to, w = at + k, sum_ + w
-                    if least[to] is None or w < least[to]:
+                    w += sum_
+                    old = least[to]
+                    if old is None or w < old:
                         least[to], arcs[to] = w, arc
         out, at = [], n
         while at:
@@ -179,11 +186,7 @@ class Transducer:
         return out[::-1]
 
     def section(self, text: str) -> bytes:
-        ids: list[int] = []
-        for p in self.shortest_path(text):
-            i = self.ids.get(p)
-            ids += [i] if i is not None else [self.bytes[b] for b in p.encode()]
-        return np.array(ids, np.int32).tobytes()
+        return b"".join(map(self.written.__getitem__, self.shortest_path(text)))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -197,6 +200,17 @@ class Transducer:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode(errors="replace")[len(self.prefix) :]
 
 
+class _Written(dict):
+    """What arcs write; a character without a piece writes its bytes."""
+
+    def __init__(self, pieces: dict[str, bytes], bytes_: list[int]):
+        super().__init__(pieces)
+        self.bytes = bytes_
+
+    def __missing__(self, c: str) -> bytes:
+        return np.array([self.bytes[b] for b in c.encode()], np.int32).tobytes()
+
+
 class _Parts(dict):
     """Ids of the parts met so far."""
 
@@ -206,7 +220,8 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= PARTS:
             self.clear()
-        sections = _BORDER.split(part) if self.of.bordered else [part]
+        # Letters alone have no border.
+        sections = _BORDER.split(part) if self.of.bordered and not part.lstrip(SPACE).isalpha() else [part]
         out = self[part] = self.of.section(part) if len(sections) == 1 else b"".join(map(self.of.sections.__getitem__, sections))
         return out
 
