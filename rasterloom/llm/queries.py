@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, hyperminhash, licenses, linededup, nndescent, pii, quality, repeats, wfst
+from rasterloom.llm import chat, decontaminate, fim, hyperminhash, licenses, linededup, nndescent, pii, quality, repeats, spelling, urlfilter, wfst
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_sentencepiece": wfst.op10_sentencepiece,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_url_filter": urlfilter.op12_url_filter,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
     "op2_near_duplicates": hyperminhash.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
