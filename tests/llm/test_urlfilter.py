@@ -94,7 +94,7 @@ def test_brute_force(spark):
         name = r.choice(bad if r.random() < 0.2 else good)
         path = "".join(f"/{r.choice(['en', 'fr', 'articles', 'gardenwords', 'winbig', '12', 'Ünder'])}" for _ in range(r.randint(0, 3)))
         pages.append((i, f"https://{r.choice(['www.', 'm.', ''])}{name}.example.{r.choice(['com', 'org', 'net'])}{path}?q=casino", "<p>garden words and things, <b>open</b> market <script>casino()</script>articles big</p>" if r.random() < 0.9 else None))
-    pages += [(1, "https://m.spamfarm.example.com/a", "")] * 3 + [(None, "http://" + "ab" * 2_000 + "/" + "garden" * 400, None)]
+    pages += [(1, "https://m.spamfarm.example.com/a", "")] * 3 + [(None, "http://" + "ab" * 200 + "/" + "garden" * 60, None)]
     df = spark.createDataFrame([(*x, "h", "v") for x in pages], "page_id long, url string, html string, host string, verdict string").repartition(5)
     got = u.judge(df)
     want = brute(pages)
