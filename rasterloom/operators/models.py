@@ -1,16 +1,30 @@
-"""Model backends: tiles of pixels go through a model inside tasks; a session is opened once for each task."""
+"""Model backends: tiles of images go through a model inside tasks; a session is opened once for each task."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of execution providers.
-PROVIDERS = {"cpu": "CPUExecutionProvider", "cuda": "CUDAExecutionProvider", "gpu": "CUDAExecutionProvider", "tensorrt": "TensorrtExecutionProvider", "trt": "TensorrtExecutionProvider", "directml": "DmlExecutionProvider", "dml": "DmlExecutionProvider", "coreml": "CoreMLExecutionProvider", "openvino": "OpenVINOExecutionProvider"}
+from rasterloom.operators import kernels, tilework, tiling
+
+# Execution providers by their names, and the order in which auto tries them.
+PROVIDERS = {
+    "tensorrt": "TensorrtExecutionProvider",
+    "trt": "TensorrtExecutionProvider",
+    "cuda": "CUDAExecutionProvider",
+    "gpu": "CUDAExecutionProvider",
+    "dml": "DmlExecutionProvider",
+    "directml": "DmlExecutionProvider",
+    "rocm": "ROCMExecutionProvider",
+    "coreml": "CoreMLExecutionProvider",
+    "openvino": "OpenVINOExecutionProvider",
+    "openvino-cpu": "OpenVINOExecutionProvider",
+    "cpu": "CPUExecutionProvider",
+}
+AUTO = ["TensorrtExecutionProvider", "CUDAExecutionProvider", "DmlExecutionProvider", "ROCMExecutionProvider", "CoreMLExecutionProvider", "OpenVINOExecutionProvider", "CPUExecutionProvider"]
 
 Process = Callable[[np.ndarray], np.ndarray]
 
@@ -27,12 +41,12 @@ def normalize_provider(name: str | None) -> str | None:
 
 
 def resolve_providers(name: str | None, installed: list[str]) -> list[str]:
-    """The wanted provider if it is installed, or all, with the CPU last."""
+    """The wanted provider if it is installed, or all known ones in the order of AUTO, with the CPU last."""
     one = normalize_provider(name)
     cpu = PROVIDERS["cpu"]
     if one and one not in installed:
         raise ValueError(f"{one} isn't installed")
-    first = [one] if one else [p for p in installed if p != cpu]
+    first = [one] if one else [p for p in AUTO if p in installed]
     return [*(p for p in first if p != cpu), cpu]
 
 
@@ -70,44 +84,76 @@ def onnx_session(path: str, provider: str | None = None, threads: int = 1) -> Pr
     return lambda x: session.run(None, {name: x})[0]
 
 
-def run_tiles(tiles: DataFrame, opener: Callable[[], Process], native_scale: int, align: int = 8) -> DataFrame:
-    """Tiles (image_id, h, w, ty, tx, y0, x0, y1, x1, y, x, r, g, b) through a model; places and bounds in the output's pixels.
+def _feather(start: int, end: int, total: int, overlap: int) -> np.ndarray:
+    """The weights of a tile along one axis, as tiling.feather has them."""
+    n = min(overlap, (end - start) // 2)
+    w = np.ones(end - start)
+    if n > 1:
+        rise = 0.5 - 0.5 * np.cos(np.pi * (np.arange(n) + 0.5) / n)
+        if start > 0:
+            w[:n] *= rise
+        if end < total:
+            w[-n:] *= rise[::-1]
+    return w
 
-    A tile is a group of bounded size; opener is called once for each task.
+
+def _ranges(lo: int, hi: int, tile: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows of a tile's side that cover lo to hi; the last is moved back."""
+    if hi - lo <= tile:
+        return [(lo, hi)]
+    ends = [min(lo + k + tile, hi) for k in range(0, hi - lo, max(1, tile - 2 * overlap))]
+    return [(e - tile, e) for e in dict.fromkeys(ends)]
+
+
+def tile_parts(process: Process, v: np.ndarray, part: kernels.Part, h: int, w: int, scale: int, overlap: int, align: int = 1, least: int = 64) -> Iterator[tuple[kernels.Part, np.ndarray]]:
+    """(part of the output, its channels times weights, and the weights) of a tile (3, h, w) of an h x w image through a model.
+
+    A tile for which there isn't the memory is cut into overlapping ones of half the side, down to least; only this tile is done again.
+    """
+    y0, y1, x0, x1 = part
+    try:
+        out = from_output(process(to_input(v.transpose(1, 2, 0), align)), (y1 - y0) * scale, (x1 - x0) * scale)
+    except MemoryError:
+        side = max(y1 - y0, x1 - x0) // 2
+        if side < least:
+            raise
+        less = min(overlap, max(4, side // 32), side // 2)
+        for a0, a1 in _ranges(y0, y1, side, less):
+            for b0, b1 in _ranges(x0, x1, side, less):
+                yield from tile_parts(process, v[:, a0 - y0 : a1 - y0, b0 - x0 : b1 - x0], (a0, a1, b0, b1), h, w, scale, less, align, least)
+        return
+    if out.shape[:2] != ((y1 - y0) * scale, (x1 - x0) * scale):
+        raise ValueError(f"the model returned {out.shape} for a tile of {y1 - y0} x {x1 - x0} at scale {scale}")
+    weight = _feather(y0 * scale, y1 * scale, h * scale, overlap * scale)[:, None] * _feather(x0 * scale, x1 * scale, w * scale, overlap * scale)
+    yield (y0 * scale, y1 * scale, x0 * scale, x1 * scale), np.concatenate([out.transpose(2, 0, 1) * weight, weight[None]])
+
+
+def on_tiles(px: DataFrame, opener: Callable[[], Process], scale: int, tile: int, overlap: int, pad: int, align: int = 1, keys: list[str] = [], least: int = 64) -> DataFrame:  # noqa: B006
+    """px (image_id, h, w, y, x, r, g, b, keys) enlarged scale times by a model, in tiles; keys are the same for all pixels of an image.
+
+    Images with a side over tile are mirrored by pad pixels at their edges, cut into tiles that overlap, and what the tiles say of a pixel is
+    averaged by their weights, summed before the shuffle. opener is called once for each task.
     """
-    cache: dict[str, Process] = {}
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        if "process" not in cache:
-            cache["process"] = opener()
-        process = cache["process"]
-        first = p.iloc[0]
-        y0, x0, h, w = int(first.y0), int(first.x0), int(first.y1 - first.y0), int(first.x1 - first.x0)
-        tile = np.zeros((h, w, 3))
-        tile[p.y - y0, p.x - x0] = p[["r", "g", "b"]]
-        s = native_scale
-        out = from_output(process(to_input(tile, align)), h * s, w * s)
-        if out.shape[:2] != (h * s, w * s):
-            raise ValueError(f"the model returned {out.shape} for a tile of {h} x {w} at scale {s}")
-        y, x = (c.ravel().astype(np.int32) for c in np.mgrid[: h * s, : w * s])
-        keep = {c: np.int32(first[c] * s) for c in ("h", "w", "y0", "x0", "y1", "x1")}
-        return pd.DataFrame({"image_id": first.image_id, **keep, "ty": np.int32(first.ty), "tx": np.int32(first.tx), "y": y + y0 * s, "x": x + x0 * s, "r": out[..., 0].ravel(), "g": out[..., 1].ravel(), "b": out[..., 2].ravel()})
-
-    schema = "image_id long, h int, w int, y0 int, x0 int, y1 int, x1 int, ty int, tx int, y int, x int, r double, g double, b double"
-    return tiles.groupBy("image_id", "ty", "tx").applyInPandas(one, schema)
-
-
-def run_resilient(run: Callable[[int], DataFrame], tile: int, least: int = 64) -> tuple[DataFrame, int]:
-    """run(tile) checked by a count, with half the tile after each failure for want of memory; returns the tile that worked."""
-    while True:
-        try:
-            out = run(tile).persist()
-            out.count()
-            return out, tile
-        except Exception as e:
-            if "MemoryError" not in str(e) or tile // 2 < least:
-                raise
-            tile //= 2
+    rgb, held = ["r", "g", "b"], ["__h0", "__w0", "__p0"]
+    large = tiling.should_tile(F.col("h"), F.col("w"), F.lit(tile))
+    p = F.when(large, F.least(F.lit(pad), F.greatest(F.lit(1), F.least("h", "w") - 1))).otherwise(0)
+    d = px.withColumns({"__h0": F.col("h"), "__w0": F.col("w"), "__p0": p})
+    cut = tiling.cut_fixed(tiling.reflect_pad(d, F.col("__p0")), tile, overlap).withColumn("wt", F.lit(1.0))
+    opened: list[Process] = []
+
+    def work(v: np.ndarray, part: kernels.Part, own: tuple) -> Iterator[tuple[kernels.Part, np.ndarray, int, int]]:
+        if not opened:
+            opened.append(opener())
+        h, w = own[:2]
+        for i in range(v.shape[1]):
+            for to, out in tile_parts(opened[0], v[:3, i], part, h, w, scale, overlap, align, least):
+                yield to, i, out[:, None], h * scale, w * scale
+
+    out = tilework.worked(cut, [*rgb, "wt"], [*held, *keys], work, [*held, *keys], one_by_one=True)
+    d = out.groupBy("image_id", "y", "x", *held, *keys).agg(*(F.sum(c).alias(c) for c in (*rgb, "wt")))
+    at = lambda c: (F.col(c) - F.col("__p0") * scale).cast("int")
+    d = d.select("image_id", (F.col("__h0") * scale).alias("h"), (F.col("__w0") * scale).alias("w"), at("y").alias("y"), at("x").alias("x"), *((F.col(c) / F.greatest("wt", F.lit(1e-6))).alias(c) for c in rgb), *keys)
+    return d.where((F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") >= 0) & (F.col("x") < F.col("w")))
 
 
 def catalogue(spark) -> DataFrame:

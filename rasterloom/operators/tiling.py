@@ -78,9 +78,9 @@ def blend(tiles: DataFrame, values: list[str], overlap: int, scale: int = 1) ->
     return d.select("image_id", "h", "w", "y", "x", *((F.col(c) / F.greatest(F.col("__t"), F.lit(1e-6))).alias(c) for c in values))
 
 
-def reflect_pad(px: DataFrame, pad: int) -> DataFrame:
+def reflect_pad(px: DataFrame, pad: int | Column) -> DataFrame:
     """Mirrors pad pixels (less one than the shorter side at most) at each edge, without repeating the edge itself."""
-    p = F.least(F.lit(pad), F.greatest(F.lit(1), F.least("h", "w") - 1))
+    p = F.least(pad if isinstance(pad, Column) else F.lit(pad), F.greatest(F.lit(1), F.least("h", "w") - 1))
     d = px.withColumn("__p", p)
     for at, size in (("y", "h"), ("x", "w")):
         i, n, q = F.col(at), F.col(size), F.col("__p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.operators import models, spectral, topology
+from rasterloom.operators import models, percentiles, spectral, topology
 from rasterloom.plans import catalogue as base
 from rasterloom.plans import config, phase, pipeline
 from rasterloom.plans import sqltext as sql
@@ -34,6 +34,61 @@ _q = sql.levels(sql.denoise(tables.PART_IMAGES, RGB, 3.0, 0.035), 0.5, 99.5, 0.2
 _q = sql.chroma_denoise(sql.chained(_q, RGB, 2.0, 1), 2.4)
 _q = sql.adjust(sql.unsharp(sql.detail(_q, RGB, 2, 8e-4, 0.40), RGB, 0.5, 0.5, 0.004), 0.1, 1.1, 1.0)
 register("pipeline_quality", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d).drop("a"), _quality)), per_image_sql(_q))
+register("pipeline_pixels", lambda s, d: per_image(pipeline._by_pixels(tables.part_images(s, d).drop("a"), _quality, None)), per_image_sql(_q))
+# One image of vectors, on tiles of 24 pixels with a margin
+_TINTED = f"SELECT image_id, h, w, y, x, v AS r, 1e0 - v AS g, v * v AS b FROM ({tables.EMBEDDING_FIELD})"
+
+
+def tinted(s, d):
+    v = F.col("v")
+    return tables.embedding_field(s, d).select("image_id", "h", "w", "y", "x", v.alias("r"), (1 - v).alias("g"), (v * v).alias("b"))
+
+
+def by_row(df):
+    """(image_id, y, n, and the mean, least and greatest of each channel of the row)."""
+    parts = [f(c).alias(f"{c}_{n}") for c in RGB for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))]
+    d = df.groupBy("image_id", "y").agg(F.count("*").alias("n"), *parts)
+    return d.select("image_id", "y", "n", *((F.round(c, 6) + 0.0).alias(c) for c in d.columns[3:]))
+
+
+def by_row_sql(q: str) -> str:
+    parts = ", ".join(f"ROUND({f}({c}), 6) + 0e0 AS {c}_{n}" for c in RGB for n, f in (("mean", "avg"), ("least", "min"), ("most", "max")))
+    return f"SELECT image_id, CAST(y AS INT) AS y, count(*) AS n, {parts} FROM ({q}) GROUP BY image_id, y"
+
+
+_tiles = pipeline.with_options("quality", scale=2.0, tile=24, sharpen=0.5, contrast=0.1, saturation=1.1)
+_t = sql.chroma_denoise(sql.chained(sql.levels(sql.denoise(_TINTED, RGB, 3.0, 0.035), 0.5, 99.5, 0.25), RGB, 2.0, 1), 2.4)
+_t = sql.adjust(sql.unsharp(sql.detail(_t, RGB, 2, 8e-4, 0.40), RGB, 0.5, 0.5, 0.004), 0.1, 1.1, 1.0)
+register("pipeline_tiled", lambda s, d: by_row(pipeline.enhance(tinted(s, d), _tiles)), by_row_sql(_t))
+
+
+def repeating():
+    """Stands for a model of scale 2 that fails for want of memory on tiles of over 30 pixels."""
+
+    def process(x):
+        if max(x.shape[2:]) > 30:
+            raise MemoryError
+        return x.repeat(2, axis=2).repeat(2, axis=3)
+
+    return process
+
+
+# The model works on floats: channels are brought to multiples of 1/64, of which sums are exact.
+_DOUBLED = f"SELECT image_id, CAST(2 * y + i AS INT) AS y, SUM(r) AS r, SUM(g) AS g, SUM(b) AS b, count(*) AS n FROM (SELECT image_id, y, FLOOR(r * 64) / 64 AS r, FLOOR(g * 64) / 64 AS g, FLOOR(b * 64) / 64 AS b FROM ({_TINTED})), range(0, 2) a(i), range(0, 2) b(j) GROUP BY 1, 2"
+
+
+def coarse(s, d):
+    return tinted(s, d).withColumns({c: F.floor(F.col(c) * 64) / 64 for c in RGB})
+
+
+_model = pipeline.Options(scale=2.0, tile=48, tile_overlap=6, tile_pad=4, detail=0.0, pre_downscale=False)
+register("pipeline_model_tiles", lambda s, d: rounded(pipeline.enhance(coarse(s, d), _model, pipeline.TileBackend(repeating, 2, 4, 16)).groupBy("image_id", "y").agg(*(F.sum(c).alias(c) for c in RGB), F.count("*").alias("n")), ["image_id", "y", "n"], RGB), sql.rounded(_DOUBLED, ["image_id", "y", "n"], RGB))
+_ENDS = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+register(
+    "levels_by_histogram",
+    lambda s, d: rounded(percentiles.percentiles(tables.embedding_field(s, d).unionByName(tables.part_images(s, d).select("image_id", "h", "w", "y", "x", F.col("r").alias("v")).where("image_id > 0")), "v", _ENDS), ["image_id"], list(_ENDS)),
+    f"SELECT image_id, {', '.join(f'ROUND(quantile_cont(v, {q}), 6) + 0e0 AS {n}' for n, q in _ENDS.items())} FROM (SELECT image_id, v FROM ({tables.EMBEDDING_FIELD}) UNION ALL SELECT image_id, r FROM ({tables.PART_IMAGES}) WHERE image_id > 0) GROUP BY image_id",
+)
 register("pipeline_alpha", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", detail=0.0, backend="nearest")), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.nearest(tables.PART_IMAGES, 'w * 2', 'h * 2')}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 2.0, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))
 _side = tables.SIDE * 3 // 2
 register("pipeline_fitted", lambda s, d: per_image(pipeline.enhance(tables.part_images(s, d), pipeline.with_options("fast", longest_side=_side, detail_radius=5)), (*RGB, "a")), per_image_sql(f"SELECT n.image_id, n.y, n.x, n.r, n.g, n.b, t.a FROM ({sql.detail(sql.chained(tables.PART_IMAGES, RGB, 1.5, 1), RGB, 2, 1e-3, 0.25)}) n JOIN ({sql.replace(sql.chained(tables.PART_IMAGES, ['a'], 1.5, 1), {'a': sql.clip01('a')})}) t USING (image_id, y, x)", (*RGB, "a")))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, sizing
-from rasterloom.operators import kernels, resample, tiling
+from rasterloom.operators import kernels, models, percentiles, resample, tilework, tiling
 from rasterloom.operators import neighbourhood as near
 from rasterloom.plans import phase
 
@@ -33,7 +33,7 @@ class Options:
     tile_overlap: int = 16
     tile_pad: int = 16
     max_pixels: int = 64_000_000
-    pre_downscale: bool = False
+    pre_downscale: bool | None = None
     denoise: float = 0.0
     denoise_radius: float = 3.0
     chroma_denoise: float = 0.0
@@ -66,9 +66,6 @@ PRESETS = {
     "quality": Options(denoise=0.035, chroma_denoise=1.2, detail=0.40, detail_radius=5, detail_eps=8e-4, auto_levels=0.25, tile_overlap=32),
 }
 
-#: Pixels for which there is a task at least, where tasks work on whole images.
-TASK_PIXELS = 1 << 17
-
 Backend = Callable[[DataFrame, float], DataFrame]
 
 
@@ -113,44 +110,143 @@ def _sized(px: DataFrame, opts: Options) -> DataFrame:
     return d.withColumns({"__scale": F.when(uniform, (sx + sy) / 2).otherwise(F.sqrt(sx * sy)), "__gain": F.greatest(F.lit(1.0), sx), "__ratio": F.greatest(sx, sy)})
 
 
-def _in_one_task(px: DataFrame, opts: Options, parts: int) -> DataFrame:
-    """The enhancement of images of which each fits into a task, dealt out by image to so many tasks."""
+def _side(opts: Options) -> tuple[Column, Column]:
+    """Whether an image is one tile (no side is over opts.tile, and it has at most MOST pixels), and the side of tiles, of at most MOST pixels once they are enlarged."""
+    pixels = lambda w, h: F.col(w).cast("long") * F.col(h)
+    whole = (F.greatest(pixels("w", "h"), pixels("out_w", "out_h")) <= kernels.MOST) & ~tiling.should_tile(F.col("h"), F.col("w"), F.lit(opts.tile))
+    grown = F.greatest(F.lit(1.0), F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h"))
+    most = F.floor(F.lit(math.sqrt(kernels.MOST)) / grown).cast("int")
+    return whole, F.when(whole, F.greatest("h", "w")).otherwise(F.greatest(F.lit(kernels.LEAST), F.least(F.lit(opts.tile or 512), most)))
+
+
+def _margin(opts: Options, kind: str) -> Column:
+    """Pixels of the source around a tile that its result depends on, at most."""
+    out = F.lit(2)
+    if kind in ("all", "before") and opts.denoise > 0:
+        out = out + 2 * max(1, round(opts.denoise_radius))
+    if kind == "before":
+        return out
+    grown = [F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h")]
+    # Each step looks at four pixels of its input to a side; where an image shrinks these are as many more of the source.
+    steps = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(*grown)))) + 3
+    out = out + F.ceil(4 * steps / F.least(F.lit(1.0), *grown, F.col("__scale")))
+    gain, far = F.col("__gain"), F.lit(0.0)
+    radius = lambda sigma: (F.sqrt(4 * sigma * sigma + 1) - 1) / 2 + 2
+    if opts.chroma_denoise > 0:
+        far = far + 3 * radius(opts.chroma_denoise * gain)
+    if opts.detail > 0:
+        far = far + 2 * (opts.detail_radius * gain / 4 + 2)
+    if opts.sharpen > 0:
+        far = far + 3 * radius(F.greatest(F.lit(0.5), opts.sharpen_radius * gain / 4))
+    return out + F.ceil(far / F.least(*grown))
+
+
+KEYS = ["out_w", "out_h", "__scale", "__gain", "__side", "__dark", "__light"]
+
+
+def _worked(sized: DataFrame, names: list[str], opts: Options, kind: str) -> DataFrame:
+    """Tiles of images (with KEYS but the side) through the stages of a kind: before (at the source's size), fit (from there to the target), or all."""
+    whole, side = _side(opts)
+
+    def work(v: np.ndarray, part: kernels.Part, own: tuple) -> Iterator[tuple[kernels.Part, np.ndarray, int, int]]:
+        h, w, ty, tx, out_w, out_h, scale, gain, tile, dark, light = own
+        ends = None if dark is None else (dark, light)
+        if kind == "before":
+            out_w, out_h, stages = w, h, kernels.before(replace(opts, auto_levels=0.0), h, w)
+        elif kind == "fit":
+            stages = kernels.resizes(h, w, out_h, out_w) + kernels.after(opts, out_h, out_w, gain)
+        else:
+            stages = kernels.before(opts, h, w, ends) + kernels.enlarging(opts, h, w, out_h, out_w, scale) + kernels.after(opts, out_h, out_w, gain)
+        want = (*kernels.core(ty, tile, h, out_h), *kernels.core(tx, tile, w, out_w))
+        if want[0] >= want[1] or want[2] >= want[3]:
+            return
+        for to, out in kernels.worked(v[:3], part, stages, want):
+            if len(v) > 3:
+                a = np.empty((1, *out.shape[1:]))
+                for own_part, made in kernels.worked(v[3:], part, _alpha_stages(opts, kind, h, w, out_h, out_w), to):
+                    kernels.cropped(a, to, own_part)[...] = made.clip(0, 1)
+                out = np.concatenate([out, a])
+            yield to, out, out_h, out_w
+
+    d = sized.withColumn("__side", side)
+    return tilework.worked(tilework.cut_with_margin(d, F.col("__side"), F.when(whole, 0).otherwise(_margin(opts, kind))), names, KEYS, work)
+
+
+def _alpha_stages(opts: Options, kind: str, h: int, w: int, out_h: int, out_w: int) -> list[kernels.Stage]:
+    if kind == "before":
+        return []
+    return [kernels.Resize(h, w, out_h, out_w, True)] if opts.alpha_mode == "nearest" else kernels.resizes(h, w, out_h, out_w)
+
+
+def _by_tiles(px: DataFrame, opts: Options) -> DataFrame:
+    """The enhancement on tiles with a margin. Levels of images of several tiles come from percentiles of all their pixels."""
     names = [*RGB, *(["a"] if "a" in px.columns else [])]
-    keys = ["out_w", "out_h", "__scale", "__gain"]
-    d = _sized(px.select("image_id", "h", "w", "y", "x", *(F.col(c).cast("double").alias(c) for c in names)), opts).drop("__ratio")
+    nothing = {c: F.lit(None).cast("double") for c in ("__dark", "__light")}
+    d = _sized(px.select("image_id", "h", "w", "y", "x", *names), opts).drop("__ratio").withColumns(nothing)
+    if opts.auto_levels > 0:
+        whole, _ = _side(opts)
+        large = d.where(~whole)
+        seen = large.select("image_id", "h", "w", "y", "x", *RGB)
+        if opts.denoise > 0:
+            seen = _worked(large, RGB, opts, "before")
+        ends = percentiles.percentiles(seen.select("image_id", color.luminance().alias("luma")), "luma", {"__dark": 0.005, "__light": 0.995})
+        d = d.where(whole).unionByName(large.drop("__dark", "__light").join(ends, "image_id"))
+    return _worked(d, names, opts, "all")
+
+
+@dataclass(frozen=True)
+class TileBackend:
+    """A model that enlarges tiles natively. opener gives a function from 1 x 3 x h x w floats to the enlarged ones; it is called once a task.
+
+    A tile for which it raises MemoryError is halved, down to the side least.
+    """
+
+    opener: Callable[[], models.Process]
+    native_scale: int
+    align: int = 1
+    least: int = 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in kernels.whole_images(batches):
-            for (w, h, scale, gain), ids, v in kernels.by_size(table, names, keys):
-                out = kernels.enhanced(v[:3], opts, w, h, scale, gain)
-                if "a" in names:
-                    a = kernels.nearest(v[3:], w, h) if opts.alpha_mode == "nearest" else kernels.resize(v[3:], w, h).clip(0, 1)
-                    out = np.concatenate([out, a])
-                yield kernels.pixels(ids, out, names)
 
-    kind = px.schema["image_id"].dataType.simpleString()
-    d = d.repartition(parts, "image_id").sortWithinPartitions("image_id")
-    return d.mapInArrow(run, f"image_id {kind}, h int, w int, y int, x int, {', '.join(f'{c} double' for c in names)}")
+def downscaled(opts: Options, native: int) -> Column:
+    """Whether images are shrunk before a model of a native scale: where that is asked for, or, left open, where a large one needs less than half of it."""
+    need = F.greatest(F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h"))
+    asked = (need < native / 2) & (F.col("w").cast("long") * F.col("h") > 4_000_000) if opts.pre_downscale is None else F.lit(opts.pre_downscale)
+    return asked & (need < native)
 
 
-def enhance(px: DataFrame, opts: Options, backend: Backend | None = None) -> DataFrame:
+def _by_model(px: DataFrame, opts: Options, backend: TileBackend) -> DataFrame:
+    """Denoise and levels, the model on overlapping tiles of the mirrored image, blended and cut, then the fit and the rest on tiles with a margin."""
+    if "a" in px.columns:
+        alpha = _by_tiles(px.select("image_id", "h", "w", "y", "x", "a", *(F.lit(0.0).alias(c) for c in RGB)), replace(opts, backend="nearest", denoise=0.0, auto_levels=0.0, chroma_denoise=0.0, detail=0.0, sharpen=0.0, gamma=1.0, contrast=0.0, saturation=1.0))
+        return _by_model(px.drop("a"), opts, backend).join(alpha.select("image_id", "y", "x", "a"), ["image_id", "y", "x"])
+    s, keys = backend.native_scale, ["out_w", "out_h", "__gain"]
+    d = px.select("image_id", "h", "w", "y", "x", *RGB)
+    nothing = {c: F.lit(None).cast("double") for c in ("__dark", "__light")}
+    if opts.denoise > 0 or opts.auto_levels > 0:
+        same = replace(opts, scale=1.0, width=None, height=None, longest_side=None, backend="nearest", max_pixels=2**62, chroma_denoise=0.0, detail=0.0, sharpen=0.0, gamma=1.0, contrast=0.0, saturation=1.0)
+        d = _by_tiles(d, same)
+    d = _sized(d, opts).drop("__ratio", "__scale")
+    if opts.pre_downscale is not False:
+        need = F.greatest(F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h")) / s
+        small = lambda c: F.when(downscaled(opts, s), F.greatest(F.lit(1), F.rint(F.col(c) * need).cast("int"))).otherwise(F.col(c))
+        d = resample.resize_to(d.withColumns({"__to_w": small("w"), "__to_h": small("h"), "__out_w": F.col("out_w"), "__out_h": F.col("out_h")}).drop("out_w", "out_h"), RGB, F.col("__to_w"), F.col("__to_h"), 1.0).drop("__to_w", "__to_h").withColumnsRenamed({"__out_w": "out_w", "__out_h": "out_h"})
+    d = models.on_tiles(d, backend.opener, s, opts.tile, opts.tile_overlap, opts.tile_pad, backend.align, keys, backend.least)
+    return _worked(d.withColumn("__scale", F.least(F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h"))).withColumns(nothing), RGB, opts, "fit")
+
+
+def enhance(px: DataFrame, opts: Options, backend: Backend | TileBackend | None = None) -> DataFrame:
     """px (image_id, h, w, y, x, r, g, b[, a]) enhanced: denoise, levels, enlarge, fit, chroma, detail, sharpen, colour, clip.
 
     Sizes are those of target(), for every option. The backend runs at the scale of both axes (or the root of the area's),
-    then images are fitted. Alpha is enlarged to the same size by itself. Sharpening is done once. Images of at most
-    kernels.MOST pixels, before and after, are worked on as arrays, each in one task; larger ones, and backends other than
-    classical and nearest, as pixels. Sizes are counted first.
+    then images are fitted. Alpha is enlarged to the same size by itself. Sharpening is done once. Images with a side over
+    opts.tile (0: none has) or over kernels.MOST pixels, before or after, are cut into tiles with the margin that their results
+    depend on, others are one tile; both have the values of the whole image. A TileBackend is given tiles of opts.tile that overlap, of an
+    image mirrored by opts.tile_pad at its edges. Other backends than these, classical and nearest are worked on as pixels.
     """
+    if isinstance(backend, TileBackend):
+        return _by_model(px, opts, backend)
     if backend is None and opts.backend in ("classical", "nearest"):
-        pixels = lambda w, h: F.col(w).cast("long") * F.col(h)
-        fits = F.greatest(pixels("w", "h"), pixels("out_w", "out_h")) <= kernels.MOST
-        every, some, n = target(px.groupBy("h", "w").count(), opts).select(F.min(fits), F.max(fits), F.sum("count")).first()
-        parts = -(-(n or 1) // TASK_PIXELS)
-        if every is not False:
-            return _in_one_task(px, opts, parts)
-        if some:
-            sized = target(px, opts)
-            return _in_one_task(sized.where(fits).select(*px.columns), opts, parts).unionByName(_by_pixels(sized.where(~fits).select(*px.columns), opts, None))
+        return _by_tiles(px, opts)
     return _by_pixels(px, opts, backend)
 
 
@@ -208,11 +304,6 @@ def _by_pixels(px: DataFrame, opts: Options, backend: Backend | None) -> DataFra
     return d
 
 
-def tiled(px: DataFrame, process: Callable[[DataFrame], DataFrame], opts: Options) -> DataFrame:
-    """process on overlapping tiles, blended; process keeps ty, tx and the tiles' bounds. For work that needs small images."""
-    return tiling.blend(process(tiling.cut_fixed(px, opts.tile, opts.tile_overlap)), RGB, opts.tile_overlap)
-
-
 def summary(done: DataFrame) -> DataFrame:
     """Telemetry of finished images (src_w, dst_w, elapsed_ms, ...), rounded."""
     f: Column = sizing.scale_factor(F.col("src_w"), F.col("dst_w"))

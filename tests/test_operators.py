@@ -150,13 +150,14 @@ def test_png_round_trip(spark, tmp_path):
 def test_model_tiles(spark):
     px = tables.synthetic(spark, 20)
     opener = lambda: lambda x: np.repeat(np.repeat(x, 2, axis=2), 2, axis=3) * 255
-    out = tiling.blend(models.run_tiles(tiling.cut_fixed(px, 12, 2), opener, 2, 8), ["r", "g", "b"], 2, 2)
+    out = models.on_tiles(px, opener, 2, 12, 2, 3, 8)
     assert np.abs(back(out, "g") - back(resample.nearest(px, F.lit(40), F.lit(40)), "g")).max() < 1e-5
 
 
 def test_providers():
     assert models.normalize_provider("AUTO") is None and models.normalize_provider("trt") == "TensorrtExecutionProvider"
     assert models.resolve_providers(None, ["CPUExecutionProvider", "CUDAExecutionProvider"]) == ["CUDAExecutionProvider", "CPUExecutionProvider"]
+    assert models.resolve_providers("auto", list(reversed(models.AUTO))) == models.AUTO and models.normalize_provider("openvino-cpu") == "OpenVINOExecutionProvider"
     with pytest.raises(ValueError):
         models.normalize_provider("abacus")
 
