@@ -189,9 +189,17 @@ register("job_ttl", lambda s, d: jobs.evict(event_jobs(s, d), _now(), 86400.0 *
 register(
     "job_admission",
     lambda s, d: jobs.admit(event_jobs(s, d), 40).select("job_id", "active", "admitted"),
-    f"""WITH j AS ({_J}), e AS (SELECT queue, job_id, created_at AS moment, 1 AS step FROM j UNION ALL SELECT queue, job_id, finished_at, -1 FROM j WHERE finished_at IS NOT NULL),
-a AS (SELECT *, coalesce(SUM(step) OVER (PARTITION BY queue ORDER BY moment, step, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS active FROM e)
-SELECT job_id, CAST(active AS BIGINT) AS active, active < 40 AS admitted FROM a WHERE step = 1""",
+    f"""WITH RECURSIVE j AS ({_J}), e AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY queue ORDER BY moment, step, job_id) AS k FROM (
+    SELECT queue, job_id, created_at AS moment, 1 AS step, coalesce(finished_at > created_at, true) AS holds FROM j
+    UNION ALL SELECT queue, job_id, finished_at, -1, false FROM j WHERE finished_at IS NOT NULL)
+), r AS (
+  SELECT DISTINCT queue, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS job_id, 0 AS step, CAST(0 AS BIGINT) AS active FROM j
+  UNION ALL
+  SELECT r.queue, e.k, CASE WHEN e.step < 0 THEN list_filter(r.held, lambda x: x <> e.job_id) WHEN e.holds AND len(r.held) < 40 THEN list_append(r.held, e.job_id) ELSE r.held END,
+    CAST(e.job_id AS BIGINT), e.step, CAST(len(r.held) AS BIGINT) FROM r JOIN e ON e.k = r.k + 1 AND e.queue IS NOT DISTINCT FROM r.queue
+)
+SELECT job_id, active, active < 40 AS admitted FROM r WHERE step = 1""",
 )
 register("http_status", lambda s, d: event_jobs(s, d).select("job_id", jobs.http_status(F.when(F.col("status") == "failed", F.element_at(F.array(*map(F.lit, ("unauthorized", "queue_full", "odd"))), (F.col("job_id") % 3 + 1).cast("int")))).alias("code")), f"SELECT job_id, CASE WHEN status <> 'failed' THEN 200 ELSE CASE job_id % 3 WHEN 0 THEN 401 WHEN 1 THEN 429 ELSE 400 END END AS code FROM ({_J})")
 

@@ -60,7 +60,7 @@ def _in_order(capacity: int):
                 out.append((queue, job, len(active), len(active) < capacity))
                 if holds and len(active) < capacity:
                     active.add(job)
-            yield pd.DataFrame(out, columns=["queue", "job_id", "active", "admitted"])
+            yield pd.DataFrame(out, columns=["__queue", "job_id", "active", "admitted"])
 
     return run
 
@@ -69,14 +69,17 @@ def admit(requests: DataFrame, capacity: int) -> DataFrame:
     """Adds active and admitted to requests (queue, job_id, created_at, finished_at): the admitted jobs of the queue that came earlier and are unfinished, and whether these are fewer than capacity.
 
     Events count in the order of time, finishes first, then job_id. Refused requests take no capacity, so each decision needs
-    those before it: the events of a queue are sorted and gone through once, with at most capacity jobs held.
+    those before it: the events of a queue are sorted and gone through once, with at most capacity jobs held. Requests without a
+    queue are a queue of their own; job_id is unique within a queue.
     """
     holds = F.coalesce(F.col("finished_at") > F.col("created_at"), F.lit(True)).alias("holds")
-    start = requests.select("queue", "job_id", F.col("created_at").alias("at"), F.lit(1).alias("step"), holds)
-    end = requests.where("finished_at is not null").select("queue", "job_id", F.col("finished_at").alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("holds"))
-    events = start.union(end).where("queue is not null").repartition("queue").sortWithinPartitions("queue", "at", "step", "job_id")
-    schema = start.select("queue", "job_id", F.lit(0).cast("long").alias("active"), F.lit(True).alias("admitted")).schema
-    return requests.join(events.select("queue", "job_id", "step", "holds").mapInPandas(_in_order(capacity), schema), ["queue", "job_id"])
+    # A key that a null has too.
+    r = requests.withColumn("__queue", F.to_json(F.struct("queue")))
+    start = r.select(F.col("__queue").alias("queue"), "job_id", F.col("created_at").alias("at"), F.lit(1).alias("step"), holds)
+    end = r.where("finished_at is not null").select(F.col("__queue").alias("queue"), "job_id", F.col("finished_at").alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("holds"))
+    events = start.union(end).repartition("queue").sortWithinPartitions("queue", "at", "step", "job_id")
+    schema = start.select(F.col("queue").alias("__queue"), "job_id", F.lit(0).cast("long").alias("active"), F.lit(True).alias("admitted")).schema
+    return r.join(events.select("queue", "job_id", "step", "holds").mapInPandas(_in_order(capacity), schema), ["__queue", "job_id"]).drop("__queue")
 
 
 def http_status(error: Column) -> Column:
@@ -92,24 +95,24 @@ def batch_report(results: DataFrame) -> DataFrame:
 
 
 def admissions(requests: DataFrame, capacity: int) -> DataFrame:
-    """Streaming admission: requests (queue, job_id, kind: submit or finish) become (queue, job_id, admitted, active).
+    """Streaming admission: requests (queue, job_id, kind: submit or finish[, at]) become (queue, job_id, admitted, active).
 
-    The state of a queue is the set size of its running jobs. Within a batch, events count in the order of job_id, finishes first.
+    The state of a queue is the ids of its admitted, unfinished jobs, at most capacity of them; the finish of another job changes nothing.
+    Within a batch, events count in the order of at (where there is one), finishes first, then job_id. active: how many were held just before.
     """
+    by = [c for c in ("at", "kind", "job_id") if c in requests.columns]
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (active,) = state.get if state.exists else (0,)
+        held = dict.fromkeys(state.get[0] if state.exists else [])
         out = []
-        for p in batches:
-            p = p.sort_values(["kind", "job_id"])
-            for job, kind in zip(p.job_id, p.kind, strict=True):
-                if kind == "finish":
-                    active = max(0, active - 1)
-                else:
-                    ok = active < capacity
-                    active += ok
-                    out.append((key[0], job, bool(ok), active))
-        state.update((active,))
+        for job, kind in pd.concat(list(batches)).sort_values(by)[["job_id", "kind"]].itertuples(index=False):
+            if kind == "finish":
+                held.pop(job, None)
+                continue
+            out.append((key[0], job, len(held) < capacity, len(held)))
+            if len(held) < capacity:
+                held[job] = None
+        state.update((list(held),))
         yield pd.DataFrame(out, columns=["queue", "job_id", "admitted", "active"])
 
-    return requests.groupBy("queue").applyInPandasWithState(one, "queue long, job_id long, admitted boolean, active long", "active long", "append", "NoTimeout")
+    return requests.groupBy("queue").applyInPandasWithState(one, "queue long, job_id long, admitted boolean, active long", "held array<long>", "append", "NoTimeout")
