@@ -112,26 +112,50 @@ def stacked(rows: pa.RecordBatch, names: list[str], keys: list[str], most: int =
             yield (h, w, ty, tx, *own), ids[take], part, v
 
 
+def in_tasks(cut: DataFrame, names: list[str], keys: list[str], work: Callable[..., Iterator[pa.RecordBatch]], schema: str, most: int = kernels.MOST) -> DataFrame:
+    """The rows, of a schema, that work(channels, ids, part, values of h, w, ty, tx and the keys) makes of tiles that are alike, as many at once as have `most` pixels."""
+    d = cut.select("image_id", *GEOMETRY, *keys, "y", "x", *(F.col(c).cast("double").alias(c) for c in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_arrays(batches, names, keys):
+            for own, ids, part, v in stacked(rows, names, keys, most):
+                yield from work(v, ids, part, own)
+
+    return dealt(d).mapInArrow(run, schema)
+
+
+def whole(px: DataFrame, layer: Column | None = None) -> DataFrame:
+    """Images (or, with a layer, each layer of them) as tiles."""
+    layer = F.lit(0) if layer is None else layer
+    return px.withColumns({"ty": layer.cast("int"), "tx": F.lit(0), "y0": F.lit(0), "y1": F.col("h"), "x0": F.lit(0), "x1": F.col("w")})
+
+
+def strips(px: DataFrame, axis: str, layer: Column | None = None, width: Column | None = None, most: int = kernels.MOST) -> DataFrame:
+    """Whole rows (axis x) or columns (axis y) of images, as many in a tile as have `most` pixels. width: that of the rows, if it isn't w."""
+    w = F.col("w") if width is None else width
+    layer = F.lit(0) if layer is None else layer
+    along, across, at = (w, F.col("h"), F.col("y")) if axis == "x" else (F.col("h"), w, F.col("x"))
+    n = F.greatest(F.lit(1), F.floor(F.lit(most) / along)).cast("int")
+    k = F.floor(at / n).cast("int")
+    lo, hi = k * n, F.least(across, (k + 1) * n)
+    zero = F.lit(0)
+    y0, y1, x0, x1 = (lo, hi, zero, w) if axis == "x" else (zero, F.col("h"), lo, hi)
+    return px.withColumns({"ty": k, "tx": layer.cast("int"), "y0": y0, "y1": y1, "x0": x0, "x1": x1})
+
+
 def worked(cut: DataFrame, names: list[str], keys: list[str], work: Work, carried: list[str] = [], one_by_one: bool = False) -> DataFrame:  # noqa: B006
     """The pixels (image_id, h, w, y, x, names, carried) of what work makes of each tile. carried: keys that come along.
 
     Tiles that are alike are given to work together; with one_by_one, each of its parts is that of one of them, whose number follows the part.
     """
-    d = cut.select("image_id", *GEOMETRY, *keys, "y", "x", *(F.col(c).cast("double").alias(c) for c in names))
     at = [keys.index(c) + 4 for c in carried]
-    kinds = [d.schema[c].dataType for c in carried]
+    kinds = [cut.schema[c].dataType.simpleString() for c in carried]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_arrays(batches, names, keys):
-            for own, ids, part, v in stacked(rows, names, keys):
-                for to, *which, out, h, w in work(v, part, own):
-                    made = kernels.pixels(ids[which] if one_by_one else ids, out, names, to, h, w)
-                    if carried:
-                        n = made.num_rows
-                        more = [pa.array([own[i]] * n, pa.int32() if kind.simpleString() == "int" else pa.float64()) for i, kind in zip(at, kinds, strict=True)]
-                        made = pa.RecordBatch.from_arrays([*made.columns, *more], names=[*made.schema.names, *carried])
-                    yield made
-
-    schema = ", ".join([f"{schema_of(d, ['image_id'])}, h int, w int, y int, x int", *(f"{c} double" for c in names), *([schema_of(d, carried)] if carried else [])])
-    return dealt(d).mapInArrow(run, schema)
+    def run(v: np.ndarray, ids: np.ndarray, part: kernels.Part, own: tuple) -> Iterator[pa.RecordBatch]:
+        for to, *which, out, h, w in work(v, part, own):
+            made = kernels.pixels(ids[which] if one_by_one else ids, out, names, to, h, w)
+            more = [pa.array([own[i]] * made.num_rows, pa.int32() if kind == "int" else pa.float64()) for i, kind in zip(at, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made.columns, *more], names=[*made.schema.names, *carried])
 
+    schema = ", ".join([f"{schema_of(cut, ['image_id'])}, h int, w int, y int, x int", *(f"{c} double" for c in names), *([schema_of(cut, carried)] if carried else [])])
+    return in_tasks(cut, names, keys, run, schema)

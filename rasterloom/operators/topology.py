@@ -1,15 +1,17 @@
-"""Peaks and pits: pooling, persistence, matching by radius, stamps and signatures.
-
-Only the merge tree itself needs a whole image in one place; it runs on an image pooled to at most `most` cells.
-"""
+"""Peaks and pits: merge trees, pooling, persistence, matching by radius, stamps and signatures."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators import kernels, tilework
+from rasterloom.sources.tables import dropped, written
+
 MOST = 65_536
 
 
@@ -27,58 +29,230 @@ def persistence_threshold(df: DataFrame, value: str, relative: float) -> DataFra
     return df.groupBy("image_id").agg(p.alias("p")).select("image_id", (relative * F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(0.0))).alias("tau"))
 
 
+#: The eight neighbours of a pixel; each pair of neighbours stands once in the first half.
+_PAIRS = [(0, 1), (1, 0), (1, 1), (1, -1)]
+
+
+def _shifted(a: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """a and a moved by (dy, dx), where both are there."""
+    h, w = a.shape[-2:]
+    at = lambda d, n: (slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d)))
+    (y, to_y), (x, to_x) = at(dy, h), at(dx, w)
+    return a[..., y, x], a[..., to_y, to_x]
+
+
+def _basins(rank: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """For each rank, that of the pixel at which the steepest descent from it ends; places of end stop any descent."""
+    down = rank.copy()
+    for dy, dx in _PAIRS:
+        for a, b in ((_shifted(down, dy, dx)[0], _shifted(rank, dy, dx)[1]), (_shifted(down, dy, dx)[1], _shifted(rank, dy, dx)[0])):
+            np.minimum(a, b, out=a)
+    if end is not None:
+        down[end] = rank[end]
+    to = np.empty(rank.size, np.int64)
+    to[rank.ravel()] = down.ravel()
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def _passes(rank: np.ndarray, basin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(basin, other basin, lowest pass) of neighbouring basins: a pass is the higher of two neighbouring pixels."""
+    found = [np.zeros((3, 0), np.int64)]
+    for dy, dx in _PAIRS:
+        p, q = (x.ravel() for x in _shifted(rank, dy, dx))
+        a, b = basin[p], basin[q]
+        some = a != b
+        found.append(np.stack([np.minimum(a, b)[some], np.maximum(a, b)[some], np.maximum(p, q)[some]]))
+    a, b, s = np.concatenate(found, axis=1)
+    order = np.lexsort((s, b, a))
+    a, b, s = a[order], b[order], s[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first], s[first]
+
+
+def _settle(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The pass at which each of n basins, numbered from the lowest, meets a lower one (-1: none), by rounds.
+
+    In a round each basin looks at its lowest pass; if the basin beyond is lower, it ends there and becomes part of that one.
+    """
+    death, none = np.full(n, -1), np.iinfo(np.int64).max
+    while len(a):
+        best = np.full(n, none)
+        np.minimum.at(best, np.concatenate([a, b]), (np.concatenate([s, s]) << 32) | np.concatenate([b, a]))
+        at = np.flatnonzero(best != none)
+        at = at[(best[at] & 0xFFFFFFFF) < at]
+        death[at] = best[at] >> 32
+        into = np.arange(n)
+        into[at] = best[at] & 0xFFFFFFFF
+        while (into[into] != into).any():
+            into = into[into]
+        a, b = into[a], into[b]
+        some = a != b
+        a, b, s = a[some], b[some], s[some]
+    return death
+
+
+def merge_trees(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minima of fields (images, h, w): places in the flat array, births and deaths by the elder rule over 8 neighbours.
+
+    Ties are broken by place. The lowest minimum of a field never dies (death: the field's greatest value). All fields are worked on at once.
+    """
+    n, flat = v.shape[0], v.ravel()
+    image = np.repeat(np.arange(n), v[0].size if n else 0)
+    order = np.lexsort((flat, image))
+    rank = np.empty(flat.size, np.int64)
+    rank[order] = np.arange(flat.size)
+    rank = rank.reshape(v.shape)
+    basin = _basins(rank)
+    low = np.flatnonzero(basin == np.arange(flat.size))
+    number = np.full(flat.size, -1)
+    number[low] = np.arange(len(low))
+    a, b, s = _passes(rank, basin)
+    death = _settle(len(low), number[a], number[b], s)
+    at = order[low]
+    most = v.reshape(n, -1).max(axis=1, initial=-np.inf)[image[at]] if n else flat
+    return at, flat[at], np.where(death >= 0, flat[order[death]], most)
+
+
 def merge_tree(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minima of a field with their births and deaths by the elder rule over 8 neighbours; the lowest one never dies (death: the greatest value)."""
-    h, w = values.shape
-    flat = values.ravel()
-    order = np.argsort(flat, kind="stable")
-    root = np.full(h * w, -1)
-    died: dict[int, float] = {}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in order:
-        y, x = divmod(int(i), w)
-        near = {find(a * w + b) for a in range(max(0, y - 1), min(h, y + 2)) for b in range(max(0, x - 1), min(w, x + 2)) if root[a * w + b] >= 0}
-        if not near:
-            root[i] = i
-            died[int(i)] = np.nan
-            continue
-        eldest = min(near, key=lambda r: (flat[r], r))
-        root[i] = eldest
-        for r in near - {eldest}:
-            root[r] = eldest
-            died[r] = flat[i]
-    at = np.array(sorted(died), np.int64)
-    death = np.array([died[int(i)] for i in at])
-    return at, flat[at], np.where(np.isnan(death), flat.max() if len(flat) else 0.0, death)
+    """merge_trees of one field, by place."""
+    at, birth, death = merge_trees(values[None])
+    order = np.argsort(at)
+    return at[order], birth[order], death[order]
+
+
+_MINIMA = "image_id {}, y int, x int, birth double, death double"
+
+
+def minima(df: DataFrame, value: str, most: int = kernels.MOST) -> DataFrame:
+    """(image_id, y, x, birth, death): the merge tree of each field, exactly. Fields of over `most` pixels are worked on by tiles."""
+    small = F.col("h").cast("long") * F.col("w") <= most
+    d = df.select("image_id", "h", "w", "y", "x", F.col(value).alias("v"))
+
+    def at_once(v: np.ndarray, ids: np.ndarray, part: kernels.Part, own: tuple) -> Iterator[pa.RecordBatch]:
+        h, w = own[:2]
+        at, birth, death = merge_trees(v[0])
+        y, x = np.divmod(at % (h * w), w)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at // (h * w)]), *(pa.array(c.astype(np.int32)) for c in (y, x)), pa.array(birth), pa.array(death)], names=["image_id", "y", "x", "birth", "death"])
+
+    kind = d.schema["image_id"].dataType.simpleString()
+    out = tilework.in_tasks(tilework.whole(d.where(small)), ["v"], [], at_once, _MINIMA.format(kind))
+    large = d.where(~small)
+    # The rounds over tiles need jobs of their own; they are left out where no image is large.
+    return out.unionByName(_minima_by_tiles(large, most)) if large.limit(1).count() else out
+
+
+_POINT = "struct<v:double,i:long>"  # compared by value, then place
+
+
+def _led_on(ended: DataFrame) -> DataFrame:
+    """(image_id, i, to) with to led on to one that isn't among i. Each step leads to a lower one, so there are no circles."""
+    t = ended.select("image_id", "i", "to")
+    while True:
+        then = t.select(F.col("image_id").alias("__k"), F.col("i").alias("__i"), F.col("to").alias("then"))
+        t = written(t.join(then, (F.col("image_id") == F.col("__k")) & (F.col("to.i") == F.col("__i")), "left").select("image_id", "i", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+        if not t.where("moved").limit(1).count():
+            return t
+
+
+def _minima_by_tiles(d: DataFrame, most: int) -> DataFrame:
+    """minima of large fields. A tile, with a margin of one pixel, follows descents to a minimum or out of it, and gives the lowest passes between where they end.
+
+    Ends in other tiles are looked up there until they are minima; the passes are then settled in rounds, each a grouped minimum and
+    joins on basins. No task holds more than a tile, and a round's tables hold basins, not pixels.
+    """
+    kind = d.schema["image_id"].dataType.simpleString()
+
+    def work(v: np.ndarray, ids: np.ndarray, part: kernels.Part, own: tuple) -> Iterator[pa.RecordBatch]:
+        h, w, ty, tx, side = own
+        y0, y1, x0, x1 = part
+        place = (np.arange(y0, y1)[:, None] * w + np.arange(x0, x1)).ravel()
+        inside = np.zeros((y1 - y0, x1 - x0), bool)
+        core = (ty * side, min(h, (ty + 1) * side), tx * side, min(w, (tx + 1) * side))
+        kernels.cropped(inside, part, core)[...] = True
+        # The core's pixels that are in other tiles' margins.
+        rim = inside.copy()
+        kernels.cropped(rim, part, (core[0] + (core[0] > 0), core[1] - (core[1] < h), core[2] + (core[2] > 0), core[3] - (core[3] < w)))[...] = False
+        for k, image in enumerate(ids.tolist()):
+            flat = v[0, k].ravel()
+            order = np.argsort(flat, kind="stable")
+            rank = np.empty(flat.size, np.int64)
+            rank[order] = np.arange(flat.size)
+            rank = rank.reshape(inside.shape)
+            basin = _basins(rank, ~inside)
+            a, b, s = _passes(rank, basin)
+            low = np.flatnonzero(basin == np.arange(flat.size))
+            low = low[inside.ravel()[order[low]]]
+            out = rank[rim]
+            what = np.repeat(np.array([0, 1, 2]), [len(low), len(out), len(a)])
+            cols = [np.concatenate(c) for c in ((low, out, a), (low, basin[out], b), (low, out, s))]
+            arrays = [pa.array([image] * len(what)), pa.array(what.astype(np.int32))]
+            for c in cols:
+                arrays.append(pa.StructArray.from_arrays([pa.array(flat[order[c]]), pa.array(place[order[c]])], names=["v", "i"]))
+            yield pa.RecordBatch.from_arrays(arrays, names=["image_id", "what", "a", "b", "s"])
+
+    # A tile has a quarter of `most` pixels at most, margin included.
+    side = max(2, int(most**0.5) // 2)
+    cut = tilework.cut_with_margin(d.withColumn("side", F.lit(side)), F.col("side"), F.lit(1))
+    rows = written(tilework.in_tasks(cut, ["v"], ["side"], work, f"image_id {kind}, what int, a {_POINT}, b {_POINT}, s {_POINT}", most))
+    found = rows.where("what = 0").select("image_id", F.col("a").alias("low"))
+    # Where descents that leave a tile end: doubled until all are minima.
+    ends = written(rows.where("what = 1").select("image_id", F.col("a.i").alias("i"), F.col("b").alias("to"), F.lit(True).alias("moved")))
+    while ends.where("moved").limit(1).count():
+        then = ends.select(F.col("image_id").alias("__k"), F.col("i").alias("__i"), F.col("to").alias("then"))
+        now = ends.join(then, (F.col("image_id") == F.col("__k")) & (F.col("to.i") == F.col("__i")), "left")
+        now = written(now.select("image_id", "i", F.coalesce("then", "to").alias("to"), F.coalesce(F.col("then.i") != F.col("to.i"), F.lit(False)).alias("moved")))
+        dropped(ends)
+        ends = now
+
+    def led(e: DataFrame, table: DataFrame) -> DataFrame:
+        """Passes between what the table (image_id, i, to) leads their sides to, the lowest of each two."""
+        for c in ("a", "b"):
+            t = table.select(F.col("image_id").alias("__k"), F.col("i").alias("__i"), F.col("to").alias("__to"))
+            e = e.join(t, (e["image_id"] == t["__k"]) & (e[f"{c}.i"] == t["__i"]), "left").withColumn(c, F.coalesce("__to", c)).drop("__k", "__i", "__to")
+        e = e.where(F.col("a.i") != F.col("b.i")).select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
+        return e.groupBy("image_id", "a", "b").agg(F.min("s").alias("s"))
+
+    e = written(led(rows.where("what = 2").select("image_id", "a", "b", "s"), ends))
+    dead = None
+    while e.limit(1).count():
+        both = e.select("image_id", F.col("a").alias("me"), F.struct("s", F.col("b").alias("o")).alias("p")).unionAll(e.select("image_id", F.col("b").alias("me"), F.struct("s", F.col("a").alias("o")).alias("p")))
+        ended = written(both.groupBy("image_id", "me").agg(F.min("p").alias("p")).where(F.col("p.o") < F.col("me")).select("image_id", F.col("me.i").alias("i"), F.col("p.s.v").alias("death"), F.col("p.o").alias("to")))
+        gone = ended.select("image_id", "i", "death")
+        dead = gone if dead is None else dead.unionAll(gone)
+        ended = _led_on(ended)
+        now = written(led(e, ended))
+        dropped(e)
+        e = now
+    most_of = d.groupBy("image_id").agg(F.max("v").alias("__most"))
+    size = d.select("image_id", "w").distinct()
+    found = found.join(dead.withColumnRenamed("i", "__i").withColumnRenamed("image_id", "__k"), (F.col("image_id") == F.col("__k")) & (F.col("low.i") == F.col("__i")), "left") if dead is not None else found.withColumn("death", F.lit(None).cast("double"))
+    found = found.join(most_of, "image_id").join(size, "image_id")
+    w = F.col("w")
+    return found.select("image_id", F.floor(F.col("low.i") / w).cast("int").alias("y"), (F.col("low.i") % w).cast("int").alias("x"), F.col("low.v").alias("birth"), F.coalesce("death", "__most").alias("death"))
 
 
 def extrema(df: DataFrame, value: str, kind: str = "peak", most: int = MOST) -> DataFrame:
-    """(image_id, kind, y, x, value, persistence, factor): peaks (or pits) of each image, pooled to `most` cells.
+    """(image_id, kind, y, x, value, persistence, factor): peaks (or pits) of each image, pooled to `most` cells (0: not pooled).
 
     Peaks pool the greatest value of a block and pits the least, so no extremum is lost to its block. Extrema of
     no persistence are left out; places are block centres, within the image.
     """
     sign = -1.0 if kind == "peak" else 1.0
-    pooled = pool_max(df.select("image_id", "h", "w", "y", "x", (F.col(value) * -sign).alias("v")), "v", most)
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        f, h, w = (int(p[c].iloc[0]) for c in ("factor", "h", "w"))
-        field = np.full((p.py.max() + 1, p.px.max() + 1), np.nan)
-        field[p.py, p.px] = -p.v.to_numpy()
-        field = np.where(np.isnan(field), np.nanmax(field), field)
-        at, birth, death = merge_tree(field)
-        keep = death > birth
-        y, x = np.divmod(at[keep], field.shape[1])
-        place = lambda v, n: np.minimum(v * f + f // 2, n - 1).astype(np.int32)
-        return pd.DataFrame({"image_id": p.image_id.iloc[0], "kind": kind, "y": place(y, h), "x": place(x, w), "value": sign * birth[keep], "persistence": (death - birth)[keep], "factor": np.int32(f)})
-
-    return pooled.groupBy("image_id").applyInPandas(one, "image_id long, kind string, y int, x int, value double, persistence double, factor int")
+    d = df.select("image_id", "h", "w", "y", "x", (F.col(value) * -sign).alias("v"))
+    f, whole = F.col("factor"), F.col("h").cast("long") * F.col("w") <= (most or 2**62)
+    pooled = pool_max(d.where(~whole), "v", most or 2**62)
+    cells = pooled.select("image_id", F.ceil(F.col("h") / f).cast("int").alias("h"), F.ceil(F.col("w") / f).cast("int").alias("w"), F.col("py").alias("y"), F.col("px").alias("x"), "v")
+    cells = d.where(whole).unionByName(cells).withColumn("v", -F.col("v"))
+    sizes = df.select("image_id", "h", "w").distinct()
+    factor = F.when(F.col("h").cast("long") * F.col("w") <= (most or 2**62), 1).otherwise(F.greatest(F.lit(2), F.ceil(F.sqrt(F.col("h").cast("long") * F.col("w") / F.lit(float(most or 1)))).cast("int")))
+    m = minima(cells, "v").where("death > birth").join(sizes.withColumn("factor", factor), "image_id")
+    place = lambda c, n: F.least(F.col(c) * f + F.floor(f / 2), F.col(n) - 1).cast("int")
+    return m.select("image_id", F.lit(kind).alias("kind"), place("y", "h").alias("y"), place("x", "w").alias("x"), (sign * F.col("birth")).alias("value"), (F.col("death") - F.col("birth")).alias("persistence"), "factor")
 
 
 def significant(points: DataFrame, tau: DataFrame) -> DataFrame:

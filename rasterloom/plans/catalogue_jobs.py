@@ -124,6 +124,14 @@ e AS (SELECT s.image_id, band, c * g / {_n * _n}e0 AS k, qx * CAST(band >= 0 AS
 SELECT image_id, y, x, band, SUM(k * even) AS b, SUM(k * qx * odd) AS rx, SUM(k * qy * odd) AS ry FROM e GROUP BY image_id, y, x, band"""
 register("band_split", lambda s, d: per_image(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v"), ("b", "rx", "ry")), per_image_sql(_SPLIT, ("b", "rx", "ry")))
 # The bands and the low pass add up to the field, so the sum of a split is the field again.
+# One image of vectors, in strips of 2,048 pixels: bands and low pass add up to it again
+register("two_pass_split", lambda s, d: rounded(spectral.decompose(tables.embedding_field(s, d), "v", most=2048).groupBy("image_id", "y", "x").agg(F.sum("b").alias("v")), base.AT, ["v"]), sql.rounded(tables.EMBEDDING_FIELD, base.AT, ["v"]))
+_AROUND = " AND ".join(f"(v, y * 64 + x) < (coalesce({f}(v, {n}) OVER {o}, 1e9), (y + {dy}) * 64 + x + {dx})" for f, n, o, dy, dx in [("lag", 1, "r", 0, -1), ("lead", 1, "r", 0, 1), ("lag", 1, "c", -1, 0), ("lead", 1, "c", 1, 0), ("lag", 1, "u", -1, -1), ("lead", 1, "u", 1, 1), ("lag", 1, "d", -1, 1), ("lead", 1, "d", 1, -1)])
+register(
+    "minima_of_field",
+    lambda s, d: topology.minima(tables.embedding_field(s, d), "v", 4096).select("image_id", "y", "x", F.round("birth", 6).alias("birth")),
+    f"SELECT image_id, y, x, ROUND(v, 6) AS birth FROM (SELECT *, {_AROUND} AS low FROM ({tables.EMBEDDING_FIELD}) WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y), u AS (PARTITION BY x - y ORDER BY y), d AS (PARTITION BY x + y ORDER BY y)) WHERE low",
+)
 register("band_sum", lambda s, d: rounded(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v", bands=1).groupBy("image_id", "y", "x").agg(F.sum("b").alias("v")), base.AT, ["v"]), sql.rounded(sql.add(tables.PART_IMAGES, {"v": sql.LUMA}), base.AT, ["v"]))
 register("phase_enlarge", lambda s, d: per_image(phase.enlarge(tables.part_images(s, d).withColumn("v", color.luminance()), 2.0), ("v",)))
 register("phase_enlarge_rgb", lambda s, d: per_image(phase.enlarge_rgb(tables.part_images(s, d), 2.0, keep_topology=False)))

@@ -28,7 +28,17 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     path = f"{spark.conf.get('spark.checkpoint.dir')}/pixels-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of written tables from which nothing is read any more (of others: nothing)."""
+    for df in tables:
+        if hasattr(df, "written_to"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def embedding_field(spark: SparkSession, sf_dir: str) -> DataFrame:
