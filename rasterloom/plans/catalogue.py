@@ -124,7 +124,8 @@ SELECT s.image_id, s.y, s.x, SUM(f.v * (1 - ABS(step) / 3e0)) / SUM(1 - ABS(step
 
 # Resampling
 _SIZED = [*AT, "h", "w"]
-_field("resample_2x", lambda d: resample.resize(d, ["v"], F.col("w") * 2, F.col("h") * 2).withColumn("v", color.clip01(F.col("v"))), lambda q: sql.replace(sql.resize(q, ["v"], "w * 2", "h * 2"), {"v": sql.clip01("v")}), keep=_SIZED)
+_field("resample_2x", lambda d: resample.enlarge(d, ["v"], 2.0).withColumn("v", color.clip01(F.col("v"))), lambda q: sql.replace(sql.resize(q, ["v"], "w * 2", "h * 2"), {"v": sql.clip01("v")}), keep=_SIZED)
+_field("resample_2x_pixels", lambda d: resample.resize(d, ["v"], F.col("w") * 2, F.col("h") * 2).withColumn("v", color.clip01(F.col("v"))), lambda q: sql.replace(sql.resize(q, ["v"], "w * 2", "h * 2"), {"v": sql.clip01("v")}), keep=_SIZED)
 _field("resample_down", lambda d: resample.resize(d, ["v"], F.lit(20), F.lit(37)), lambda q: sql.resize(q, ["v"], "20", "37"), keep=_SIZED)
 _field("resample_nonuniform", lambda d: resample.resize(d, ["v"], F.lit(96), F.floor(F.col("h") * 0.7)), lambda q: sql.resize(q, ["v"], "96", "FLOOR(h * 0.7e0)"), keep=_SIZED)
 _parts("resample_3x_chained", lambda d: resample.resize_chained(d, RGB, 3.0), lambda q: sql.chained(q, RGB, 3.0, 2), RGB, _SIZED)

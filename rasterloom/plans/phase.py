@@ -33,11 +33,11 @@ def enlarge(field: DataFrame, scale: float, value: str = "v", bands: int = 3, re
         raise ValueError("the phase method only enlarges")
     parts = written(analyse(field, value, bands))
     moved = transport.transport(parts.where("band >= 0"), scale).groupBy("image_id", "h", "w", "y", "x").agg(F.sum("v").alias("detail"))
-    low = resample.resize_chained(parts.where("band = -1").select("image_id", "h", "w", "y", "x", F.col("b").alias("low")), ["low"], scale)
+    low = resample.enlarge(parts.where("band = -1").select("image_id", "h", "w", "y", "x", F.col("b").alias("low")), ["low"], scale)
     out = low.join(moved.drop("h", "w"), ["image_id", "y", "x"]).select("image_id", "h", "w", "y", "x", (F.col("low") + F.col("detail")).alias("v"))
     if not keep_topology:
         return out
-    plain = written(resample.resize_chained(field.select("image_id", "h", "w", "y", "x", F.col(value).alias("v")), ["v"], scale))
+    plain = written(resample.enlarge(field.select("image_id", "h", "w", "y", "x", F.col(value).alias("v")), ["v"], scale))
     tau = written(topology.persistence_threshold(field, value, relative))
     out = written(topology.suppress(written(out), plain, "v", tau))
     peaks = topology.significant(topology.extrema(field, value), tau).select("image_id", ((F.col("y") + 0.5) * scale - 0.5).alias("y"), ((F.col("x") + 0.5) * scale - 0.5).alias("x"), "value", "factor")
@@ -57,7 +57,7 @@ def enlarge_rgb(px: DataFrame, scale: float, chroma_detail: float = 0.25, **opti
         d = neighbourhood.gradient(d, c)
         cos = (F.col("gx") * F.col("lx") + F.col("gy") * F.col("ly")) / F.greatest(F.col("magnitude") * F.col("lm"), F.lit(1e-8))
         d = d.withColumn(f"gate_{c}", clip01(cos) * clip01(F.col("magnitude") / F.greatest("lm", F.lit(1e-8)))).drop("gx", "gy", "magnitude")
-    d = resample.resize_chained(d.withColumn("plain", F.col("luma")), ["cb", "cr", "plain", "gate_cb", "gate_cr"], scale)
+    d = resample.enlarge(d.withColumn("plain", F.col("luma")), ["cb", "cr", "plain", "gate_cb", "gate_cr"], scale)
     d = d.join(luma.select(*names, "luma"), names)
     residual = F.col("luma") - F.col("plain")
     d = d.withColumns({c: F.col(c) + chroma_detail * residual * clip01(F.col(f"gate_{c}")) for c in ("cb", "cr")})
