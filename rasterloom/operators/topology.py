@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import kernels, tilework
@@ -259,10 +259,17 @@ def significant(points: DataFrame, tau: DataFrame) -> DataFrame:
     return points.join(tau, "image_id").where(F.col("persistence") >= F.col("tau")).drop("tau")
 
 
-def signature(points: DataFrame) -> DataFrame:
-    """(image_id, peaks, pits, total, spectrum, sum_persistence); the spectrum holds the 32 greatest persistences."""
+def signature(points: DataFrame, kept: int = 32) -> DataFrame:
+    """(image_id, peaks, pits, total, spectrum, sum_persistence); the spectrum holds the greatest persistences, as many as are kept.
+
+    These are cut to the limit in each partition before the shuffle, and once more after it: no buffer holds more.
+    """
     count = lambda k: F.count_if(F.col("kind") == k)
-    return points.groupBy("image_id").agg(count("peak").alias("peaks"), count("pit").alias("pits"), F.count("*").alias("total"), F.slice(F.sort_array(F.collect_list("persistence"), False), 1, 32).alias("spectrum"), F.sum("persistence").alias("sum_persistence"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("persistence").desc()))
+    top = points.select("image_id", "persistence").withColumn("__n", place).where(F.col("__n") <= kept)
+    top = top.groupBy("image_id").agg(F.sort_array(F.collect_list("persistence"), False).alias("spectrum"))
+    sums = points.groupBy("image_id").agg(count("peak").alias("peaks"), count("pit").alias("pits"), F.count("*").alias("total"), F.sum("persistence").alias("sum_persistence"))
+    return sums.join(top, "image_id").select("image_id", "peaks", "pits", "total", "spectrum", "sum_persistence")
 
 
 def matches(reference: Column, candidate: Column, tolerance: float = 0.25) -> Column:

@@ -9,7 +9,7 @@ from rasterloom.operators import models, percentiles, spectral, topology
 from rasterloom.plans import catalogue as base
 from rasterloom.plans import config, phase, pipeline
 from rasterloom.plans import sqltext as sql
-from rasterloom.sources import images, tables
+from rasterloom.sources import decode, images, tables
 from rasterloom.streaming import jobs
 
 register, rounded, RGB = base.register, base.rounded, base.RGB
@@ -138,6 +138,12 @@ register("phase_enlarge_rgb", lambda s, d: per_image(phase.enlarge_rgb(tables.pa
 register("peaks_of_parts", lambda s, d: topology.signature(topology.extrema(tables.part_images(s, d), "g").union(topology.extrema(tables.part_images(s, d), "g", "pit"))))
 register("png_roundtrip", lambda s, d: images.probe(images.encode_png(tables.part_images(s, d)).withColumnRenamed("png", "content")), f"SELECT DISTINCT image_id, 'PNG' AS format, w AS width, h AS height, 'RGBA' AS mode, true AS has_alpha, CAST(NULL AS VARCHAR) AS error FROM ({tables.PART_IMAGES})")
 
+register(
+    "png_pixels",
+    lambda s, d: rounded(decode.decode(images.encode_png(tables.part_images(s, d)), content="png"), ["image_id", "h", "w", "y", "x", "mode", "error"], [*RGB, "a"]),
+    f"SELECT image_id, h, w, y, x, 'RGBA' AS mode, CAST(NULL AS VARCHAR) AS error, {', '.join(f'ROUND(FLOOR(GREATEST(0e0, LEAST(255e0, {c} * 255e0 + 0.5e0))) / 255e0, 6) + 0e0 AS {c}' for c in (*RGB, 'a'))} FROM ({tables.PART_IMAGES})",
+)
+
 # Files: the addresses of pages as paths
 register(
     "normalize_format",

@@ -27,10 +27,13 @@ def analyse(field: DataFrame, value: str = "v", bands: int = 3) -> DataFrame:
     return spectral.phase_gradient(transport.amplitude_phase(parts.join(theta, ["image_id", "y", "x"])))
 
 
-def enlarge(field: DataFrame, scale: float, value: str = "v", bands: int = 3, relative: float = 0.18, keep_topology: bool = True) -> DataFrame:
-    """(image_id, h, w, y, x, v): a grey field at scale times its size."""
+def enlarge(field: DataFrame, scale: float, value: str = "v", bands: int = 3, relative: float = 0.18, keep_topology: bool = True, max_pixels: int = 0) -> DataFrame:
+    """(image_id, h, w, y, x, v): a grey field at scale times its size. Fields that would have more than max_pixels (0: no bound) raise an error."""
     if scale < 1:
         raise ValueError("the phase method only enlarges")
+    if max_pixels:
+        many = F.greatest(F.lit(1), F.rint(F.col("h") * scale)) * F.greatest(F.lit(1), F.rint(F.col("w") * scale)) > max_pixels
+        field = field.withColumn("w", F.when(many, F.raise_error(F.format_string(f"%d x %d enlarged {scale} times has more than {max_pixels} pixels", "h", "w")).cast("int")).otherwise(F.col("w")))
     parts = written(analyse(field, value, bands))
     moved = transport.transport(parts.where("band >= 0"), scale).groupBy("image_id", "h", "w", "y", "x").agg(F.sum("v").alias("detail"))
     low = resample.enlarge(parts.where("band = -1").select("image_id", "h", "w", "y", "x", F.col("b").alias("low")), ["low"], scale)

@@ -14,6 +14,7 @@ from rasterloom.functions import color, sizing
 from rasterloom.operators import kernels, models, percentiles, resample, tilework, tiling
 from rasterloom.operators import neighbourhood as near
 from rasterloom.plans import phase
+from rasterloom.sources import decode, images
 
 RGB = ["r", "g", "b"]
 
@@ -304,6 +305,21 @@ def _by_pixels(px: DataFrame, opts: Options, backend: Backend | None) -> DataFra
     return d
 
 
+def enhance_bytes(files: DataFrame, opts: Options, image_id: str = "image_id", content: str = "content") -> DataFrame:
+    """(image_id, png, error): the images of a binary column enhanced, as PNG bytes, or why not. Grey images stay grey, and so does alpha where there is some.
+
+    One plan from bytes to bytes; files are told apart by image_id, so that is unique.
+    """
+    px = decode.decode(files, image_id, content)
+    out = None
+    for grey in (True, False):
+        for alpha in (True, False):
+            some = px.where(F.col("error").isNull() & (F.col("mode").isin("L", "LA") == grey) & (F.col("a").isNotNull() == alpha)).select("image_id", "h", "w", "y", "x", *RGB, *(["a"] if alpha else []))
+            made = images.encode_png(enhance(some, opts), grey)
+            out = made if out is None else out.unionByName(made)
+    return out.withColumn("error", F.lit(None).cast("string")).unionByName(px.where("error is not null").select("image_id", F.lit(None).cast("binary").alias("png"), "error"))
+
+
 def summary(done: DataFrame) -> DataFrame:
     """Telemetry of finished images (src_w, dst_w, elapsed_ms, ...), rounded."""
     f: Column = sizing.scale_factor(F.col("src_w"), F.col("dst_w"))

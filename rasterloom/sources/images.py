@@ -105,7 +105,7 @@ def encode_png(px: DataFrame, gray: bool = False) -> DataFrame:
         out[p.y, p.x] = p[channels].to_numpy(np.uint8)
         return pd.DataFrame({"image_id": [p.image_id.iloc[0]], "png": [_png(out)]})
 
-    return px.select("image_id", "h", "w", "y", "x", *u8).groupBy("image_id").applyInPandas(one, "image_id long, png binary")
+    return px.select("image_id", "h", "w", "y", "x", *u8).groupBy("image_id").applyInPandas(one, f"image_id {px.schema['image_id'].dataType.simpleString()}, png binary")
 
 
 def save_files(files: DataFrame, folder: str, name: str = "image_id", content: str = "png", extension: str = ".png") -> DataFrame:
