@@ -9,7 +9,7 @@ from rasterloom.operators import models, percentiles, spectral, topology
 from rasterloom.plans import catalogue as base
 from rasterloom.plans import config, phase, pipeline
 from rasterloom.plans import sqltext as sql
-from rasterloom.sources import decode, images, tables
+from rasterloom.sources import decode, headers, images, tables
 from rasterloom.streaming import jobs
 
 register, rounded, RGB = base.register, base.rounded, base.RGB
@@ -144,6 +144,32 @@ register(
     f"SELECT image_id, h, w, y, x, 'RGBA' AS mode, CAST(NULL AS VARCHAR) AS error, {', '.join(f'ROUND(FLOOR(GREATEST(0e0, LEAST(255e0, {c} * 255e0 + 0.5e0))) / 255e0, 6) + 0e0 AS {c}' for c in (*RGB, 'a'))} FROM ({tables.PART_IMAGES})",
 )
 
+# Headers of four formats, put together from the columns of parts
+_SIZES = "SELECT p_partkey, CAST(1 + p_partkey % 5000 AS INT) AS width, CAST(1 + p_size * 7 AS INT) AS height, p_partkey % 4 AS kind, CAST(p_partkey % 60 AS INT) AS more FROM part"
+
+
+def part_headers(s, d):
+    k = F.col("p_partkey")
+    p = tables.read(s, d, "part").select("p_partkey", (1 + k % 5000).cast("int").alias("w"), (1 + F.col("p_size") * 7).cast("int").alias("h"), (k % 60).cast("int").alias("more"))
+    big = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    little = lambda c, n: F.concat(*(F.substring(big(c, n), 2 * n - 1 - 2 * i, 2) for i in range(n)))
+    w, h, more = F.col("w"), F.col("h"), F.col("more")
+    lit = F.lit
+    jpeg = F.concat(lit("FFD8FFE2"), big(more + 16, 2), lit("4943435F50524F46494C45000101"), F.repeat(lit("AA"), more), lit("FFC0001108"), big(h, 2), big(w, 2), lit("03011100021100031100FFDA"))
+    tiff = F.concat(lit("4D4D002A000000080003"), lit("0100000400000001"), big(w, 4), lit("0101000400000001"), big(h, 4), lit("0106000300000001"), lit("00010000"), big(more, 4))
+    webp = F.concat(lit("524946460000000057454250565038580A000000"), F.when(more % 2 == 1, "12").otherwise("00"), lit("000000"), little(w - 1, 3), little(h - 1, 3))
+    gif = F.concat(lit("474946383961"), little(w, 2), little(h, 2), lit("000000"), F.repeat(lit("2C" + "00" * 9 + "020100" + "00"), F.when(more % 3 == 0, 2).otherwise(1)), lit("3B"))
+    return p.select("p_partkey", F.unhex(F.when(k % 4 == 0, jpeg).when(k % 4 == 1, tiff).when(k % 4 == 2, webp).otherwise(gif)).alias("content"))
+
+
+register(
+    "headers_of_parts",
+    lambda s, d: headers.headers(part_headers(s, d)),
+    f"""SELECT p_partkey, CASE kind WHEN 0 THEN 'JPEG' WHEN 1 THEN 'TIFF' WHEN 2 THEN 'WEBP' ELSE 'GIF' END AS format, width, height,
+  CASE kind WHEN 0 THEN 'RGB' WHEN 1 THEN '1' WHEN 2 THEN CASE WHEN more % 2 = 1 THEN 'RGBA' ELSE 'RGB' END ELSE 'P' END AS mode, kind = 2 AND more % 2 = 1 AS has_alpha,
+  CASE kind WHEN 0 THEN false WHEN 1 THEN more > 0 WHEN 2 THEN more % 2 = 1 ELSE more % 3 = 0 END AS animated, CAST(CASE WHEN kind = 0 THEN more ELSE 0 END AS BIGINT) AS icc_bytes, CAST(NULL AS VARCHAR) AS error FROM ({_SIZES})""",
+)
+
 # Files: the addresses of pages as paths
 register(
     "normalize_format",

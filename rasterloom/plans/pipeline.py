@@ -97,10 +97,11 @@ def target(images: DataFrame, opts: Options) -> DataFrame:
     return d.withColumns({"out_w": F.col("__fit.w"), "out_h": F.col("__fit.h"), "notes": F.array_compact(F.array(note))}).drop("__want", "__fit")
 
 
-def memory_guard(images: DataFrame, limit_bytes: int) -> DataFrame:
-    """Images whose float pixels take more than limit_bytes raise an error when they are read."""
-    size = F.col("w").cast("long") * F.col("h") * 12
-    return images.withColumn("w", F.when(size > limit_bytes, F.raise_error(F.format_string("image of %d bytes is over the limit", size)).cast("int")).otherwise(F.col("w")))
+def memory_guard(images: DataFrame, limit_bytes: int, opts: Options | None = None) -> DataFrame:
+    """Images whose float pixels take more than limit_bytes, once they have the size that opts ask for, raise an error when they are read."""
+    out = target(images, opts) if opts else images.withColumns({"out_w": F.col("w"), "out_h": F.col("h")})
+    size = F.col("out_w").cast("long") * F.col("out_h") * 12
+    return out.withColumn("w", F.when(size > limit_bytes, F.raise_error(F.format_string("image of %d bytes is over the limit", size)).cast("int")).otherwise(F.col("w"))).select(*images.columns)
 
 
 def _sized(px: DataFrame, opts: Options) -> DataFrame:
@@ -235,15 +236,18 @@ def _by_model(px: DataFrame, opts: Options, backend: TileBackend) -> DataFrame:
     return _worked(d.withColumn("__scale", F.least(F.col("out_w") / F.col("w"), F.col("out_h") / F.col("h"))).withColumns(nothing), RGB, opts, "fit")
 
 
-def enhance(px: DataFrame, opts: Options, backend: Backend | TileBackend | None = None) -> DataFrame:
+def enhance(px: DataFrame, opts: Options, backend: Backend | TileBackend | None = None, limit_bytes: int = 0) -> DataFrame:
     """px (image_id, h, w, y, x, r, g, b[, a]) enhanced: denoise, levels, enlarge, fit, chroma, detail, sharpen, colour, clip.
 
     Sizes are those of target(), for every option. The backend runs at the scale of both axes (or the root of the area's),
     then images are fitted. Alpha is enlarged to the same size by itself. Sharpening is done once. Images with a side over
     opts.tile (0: none has) or over kernels.MOST pixels, before or after, are cut into tiles with the margin that their results
     depend on, others are one tile; both have the values of the whole image. A TileBackend is given tiles of opts.tile that overlap, of an
-    image mirrored by opts.tile_pad at its edges. Other backends than these, classical and nearest are worked on as pixels.
+    image mirrored by opts.tile_pad at its edges. Other backends than these, classical and nearest are worked on as pixels. An image whose
+    result would take more than limit_bytes (0: no limit) as floats raises an error.
     """
+    if limit_bytes > 0:
+        px = memory_guard(px, limit_bytes, opts)
     if isinstance(backend, TileBackend):
         return _by_model(px, opts, backend)
     if backend is None and opts.backend in ("classical", "nearest"):

@@ -126,3 +126,11 @@ def test_phase_bound(spark):
     px = picture(spark, [(4, 5)]).withColumnRenamed("r", "v")
     with pytest.raises(Exception, match="more than 50 pixels"):
         phase.enlarge(px, 2.0, keep_topology=False, max_pixels=50).collect()
+
+
+def test_memory_guard_of_results(spark):
+    px = picture(spark, [(10, 10)]).drop("a")
+    opts = pipeline.Options(scale=4.0, detail=0.0)
+    assert pipeline.enhance(px, opts, limit_bytes=40 * 40 * 12).count() == 1_600
+    with pytest.raises(Exception, match="over the limit"):
+        pipeline.enhance(px, opts, limit_bytes=40 * 40 * 12 - 1).collect()
