@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
@@ -9,7 +10,7 @@ from rasterloom.operators import models, percentiles, spectral, topology
 from rasterloom.plans import catalogue as base
 from rasterloom.plans import config, phase, pipeline
 from rasterloom.plans import sqltext as sql
-from rasterloom.sources import decode, headers, images, tables
+from rasterloom.sources import decode, encode, headers, images, tables
 from rasterloom.streaming import jobs
 
 register, rounded, RGB = base.register, base.rounded, base.RGB
@@ -136,6 +137,30 @@ register("band_sum", lambda s, d: rounded(spectral.decompose(tables.part_images(
 register("phase_enlarge", lambda s, d: per_image(phase.enlarge(tables.part_images(s, d).withColumn("v", color.luminance()), 2.0), ("v",)))
 register("phase_enlarge_rgb", lambda s, d: per_image(phase.enlarge_rgb(tables.part_images(s, d), 2.0, keep_topology=False)))
 register("peaks_of_parts", lambda s, d: topology.signature(topology.extrema(tables.part_images(s, d), "g").union(topology.extrema(tables.part_images(s, d), "g", "pit"))))
+def encoded_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the part images as JPEG, PNG and TIFF files."""
+    px = tables.part_images(spark, sf_dir)
+    files = [encode.encode(px, fmt) for fmt in ("JPEG", "PNG", "TIFF")]
+    found = headers.headers(files[0].unionByName(files[1]).unionByName(files[2]).select("image_id", "content"))
+    return found.select("image_id", "format", "width", "height", "mode", "has_alpha", "error")
+
+
+register(
+    "encoded_headers",
+    encoded_headers,
+    f"""SELECT DISTINCT image_id, f AS format, w AS width, h AS height, CASE f WHEN 'JPEG' THEN 'RGB' ELSE 'RGBA' END AS mode, f <> 'JPEG' AS has_alpha, CAST(NULL AS VARCHAR) AS error
+FROM ({tables.PART_IMAGES}), (VALUES ('JPEG'), ('PNG'), ('TIFF')) t(f)""",
+)
+# One large image whose file is coded in strips of sixteen lines.
+register(
+    "png_strips",
+    lambda s, d: rounded(
+        decode.decode(encode.encode(tables.embedding_field(s, d).select("image_id", "h", "w", "y", "x", *(F.col("v").alias(c) for c in "rgb")), gray=True, strip=1024)),
+        ["image_id", "h", "w", "y", "x", "mode", "error"],
+        ["r"],
+    ),
+    f"SELECT image_id, h, w, y, x, 'L' AS mode, CAST(NULL AS VARCHAR) AS error, round(floor((0.299e0 * v + 0.587e0 * v + 0.114e0 * v) * 255e0 + 0.5e0) / 255e0, 6) AS r FROM ({tables.EMBEDDING_FIELD})",
+)
 register("png_roundtrip", lambda s, d: images.probe(images.encode_png(tables.part_images(s, d)).withColumnRenamed("png", "content")), f"SELECT DISTINCT image_id, 'PNG' AS format, w AS width, h AS height, 'RGBA' AS mode, true AS has_alpha, CAST(NULL AS VARCHAR) AS error FROM ({tables.PART_IMAGES})")
 
 register(
