@@ -119,12 +119,12 @@ def gradient(df: DataFrame, value: str) -> DataFrame:
 
 
 def orient_smooth(df: DataFrame, value: str, theta: str, radius: int) -> DataFrame:
-    """Mean of value over nearest-pixel steps -radius..radius along theta, clamped to the image, with weights falling off linearly."""
+    """Mean of value over nearest-pixel steps -radius..radius along theta, clamped to the image, with Gaussian weights whose sigma is the radius."""
     steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     s = df.select("image_id", "h", "w", "y", "x", theta, steps.alias("step"))
     near = lambda at, size, d: F.greatest(F.lit(0), F.least(F.col(size) - 1, F.rint(F.col(at) + F.col("step") * d).cast("int")))
     s = s.select("image_id", "y", "x", F.col("step"), near("y", "h", F.sin(theta)).alias("ny"), near("x", "w", F.cos(theta)).alias("nx"))
     other = df.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("__v"))
-    weight = 1 - F.abs("step") / F.lit(radius + 1.0)
+    weight = F.exp(-0.5 * F.col("step") * F.col("step") / max(radius * radius, 1e-6))
     m = s.join(other, ["image_id", "ny", "nx"]).groupBy("image_id", "y", "x").agg((F.sum(F.col("__v") * weight) / F.sum(weight)).alias("smooth"))
     return df.join(m, ["image_id", "y", "x"])

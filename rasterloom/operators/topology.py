@@ -306,11 +306,11 @@ def stamp(points: DataFrame, radius: Column | int) -> DataFrame:
     return d.withColumn("mask", F.least(F.lit(1.0), F.col("mask")))
 
 
-def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFrame, strength: float = 1.0, most: int = MOST) -> DataFrame:
-    """Blends the candidate field to the reference around its significant peaks that the reference doesn't have.
+def spurious(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFrame, most: int = MOST) -> DataFrame:
+    """(image_id, h, w, factor, y, x): significant peaks of the candidate field that the reference doesn't have.
 
     A peak without a significant reference peak nearby counts only if it is still the height of its 5 x 5 surroundings.
-    Peaks of pooled images stand at block centres, so what is nearby and how far a stamp reaches grow with the pooling factor.
+    Peaks of pooled images stand at block centres, so what is nearby grows with the pooling factor.
     """
     radius = F.greatest(F.lit(2), F.col("factor") + 2)
     peaks = lambda d: significant(extrema(d, value, "peak", most), tau)
@@ -319,29 +319,54 @@ def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFr
     around = lone.select("image_id", "factor", F.col("y").alias("py"), F.col("x").alias("px"), F.col("value").alias("height"), step.alias("dy")).withColumn("dx", step)
     around = around.withColumns({"y": F.col("py") + F.col("dy"), "x": F.col("px") + F.col("dx")})
     top = around.join(candidate.select("image_id", "h", "w", "y", "x", value), ["image_id", "y", "x"]).groupBy("image_id", "h", "w", "factor", "py", "px", "height").agg(F.max(value).alias("top"))
-    spurious = top.join(tau, "image_id").where(F.col("top") >= F.col("height") - 0.02 * F.col("tau")).select("image_id", "h", "w", "factor", F.col("py").alias("y"), F.col("px").alias("x"))
-    mask = stamp(spurious, radius)
+    return top.join(tau, "image_id").where(F.col("top") >= F.col("height") - 0.02 * F.col("tau")).select("image_id", "h", "w", "factor", F.col("py").alias("y"), F.col("px").alias("x"))
+
+
+def suppress(candidate: DataFrame, reference: DataFrame, value: str, tau: DataFrame, strength: float = 1.0, most: int = MOST, points: DataFrame | None = None) -> DataFrame:
+    """Blends the candidate field to the reference around its spurious peaks (points, if these are known already).
+
+    How far a stamp reaches grows with the pooling factor.
+    """
+    if points is None:
+        points = spurious(candidate, reference, value, tau, most)
+    mask = stamp(points, F.greatest(F.lit(2), F.col("factor") + 2))
     ref = reference.select("image_id", "y", "x", F.col(value).alias("__ref"))
     d = candidate.join(ref, ["image_id", "y", "x"]).join(mask, ["image_id", "y", "x"], "left")
     m = F.coalesce("mask", F.lit(0.0)) * strength
     return d.withColumn(value, F.col(value) * (1 - m) + F.col("__ref") * m).drop("__ref", "mask")
 
 
-def restore(field: DataFrame, peaks: DataFrame, value: str, tau: DataFrame, radius: int = 2) -> DataFrame:
-    """Raises the field to lost peaks (image_id, y, x, value): where its surroundings stay a quarter tau below the height, a bump is put in.
-
-    radius: how far around a peak is looked; a column factor of the peaks (that of their pooling) widens it to half of
-    itself and 2. Bumps act on the field as it came in, and where several meet the highest counts, so the order of peaks has no effect.
-    """
+def _surroundings(field: DataFrame, peaks: DataFrame, value: str, radius: int) -> DataFrame:
+    """The pixels around each peak (py, px, apex) with their values in __v."""
     pooled = F.col("factor") if "factor" in peaks.columns else F.lit(1)
     r = F.col("__r")
     step = F.explode(F.sequence(-r, r))
     peaks = peaks.withColumn("__r", F.greatest(F.lit(max(2, radius)), F.floor(pooled / 2).cast("int") + 2))
     p = peaks.select("image_id", "__r", F.rint("y").cast("int").alias("py"), F.rint("x").cast("int").alias("px"), F.col("value").alias("apex"), step.alias("dy")).withColumn("dx", step)
     p = p.withColumns({"y": F.col("py") + F.col("dy"), "x": F.col("px") + F.col("dx")})
-    near = p.join(field.select("image_id", "y", "x", F.col(value).alias("__v")), ["image_id", "y", "x"])
-    lost = near.groupBy("image_id", "py", "px", "apex").agg(F.max("__v").alias("top")).join(tau, "image_id").where(F.col("top") < F.col("apex") - 0.25 * F.col("tau"))
+    return p.join(field.select("image_id", "y", "x", F.col(value).alias("__v")), ["image_id", "y", "x"])
+
+
+def _lost(near: DataFrame, tau: DataFrame) -> DataFrame:
+    tops = near.groupBy("image_id", "py", "px", "apex").agg(F.max("__v").alias("top"))
+    return tops.join(tau, "image_id").where(F.col("top") < F.col("apex") - 0.25 * F.col("tau")).select("image_id", "py", "px", "apex")
+
+
+def lost(field: DataFrame, peaks: DataFrame, value: str, tau: DataFrame, radius: int = 2) -> DataFrame:
+    """(image_id, py, px, apex): peaks (image_id, y, x, value[, factor]) whose surroundings in the field stay a quarter tau below the height."""
+    return _lost(_surroundings(field, peaks, value, radius), tau)
+
+
+def restore(field: DataFrame, peaks: DataFrame, value: str, tau: DataFrame, radius: int = 2, points: DataFrame | None = None) -> DataFrame:
+    """Raises the field to lost peaks (points, if these are known already): a bump is put in.
+
+    radius: how far around a peak is looked; a column factor of the peaks (that of their pooling) widens it to half of
+    itself and 2. Bumps act on the field as it came in, and where several meet the highest counts, so the order of peaks has no effect.
+    """
+    near = _surroundings(field, peaks, value, radius)
+    if points is None:
+        points = _lost(near, tau)
     bump = F.exp(-0.5 * (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / (1.5 * 1.5))
-    raised = near.join(lost.select("image_id", "py", "px", "apex"), ["image_id", "py", "px", "apex"]).withColumn("__r", F.greatest(F.col("__v"), F.col("__v") * (1 - bump) + F.col("apex") * bump))
+    raised = near.join(points, ["image_id", "py", "px", "apex"]).withColumn("__r", F.greatest(F.col("__v"), F.col("__v") * (1 - bump) + F.col("apex") * bump))
     raised = raised.groupBy("image_id", "y", "x").agg(F.max("__r").alias("__r"))
     return field.join(raised, ["image_id", "y", "x"], "left").withColumn(value, F.coalesce("__r", F.col(value))).drop("__r")

@@ -118,7 +118,7 @@ _field(
     lambda d: near.orient_smooth(d.withColumn("theta", 0.1 + (F.col("x") % 31).cast("double") / 10), "v", "theta", 2),
     lambda q: f"""WITH f AS (SELECT *, 0.1e0 + CAST(x % 31 AS DOUBLE) / 10 AS theta FROM ({q})),
 s AS (SELECT image_id, y, x, t.step, GREATEST(0, LEAST(h - 1, CAST(round_even(y + t.step * SIN(theta), 0) AS INT))) AS ny, GREATEST(0, LEAST(w - 1, CAST(round_even(x + t.step * COS(theta), 0) AS INT))) AS nx FROM f, range(-2, 3) t(step))
-SELECT s.image_id, s.y, s.x, SUM(f.v * (1 - ABS(step) / 3e0)) / SUM(1 - ABS(step) / 3e0) AS smooth FROM s JOIN f ON f.image_id = s.image_id AND f.y = ny AND f.x = nx GROUP BY s.image_id, s.y, s.x""",
+SELECT s.image_id, s.y, s.x, SUM(f.v * EXP(-0.5e0 * step * step / 4)) / SUM(EXP(-0.5e0 * step * step / 4)) AS smooth FROM s JOIN f ON f.image_id = s.image_id AND f.y = ny AND f.x = nx GROUP BY s.image_id, s.y, s.x""",
     ("smooth",),
 )
 

@@ -136,6 +136,12 @@ register(
 register("band_sum", lambda s, d: rounded(spectral.decompose(tables.part_images(s, d).withColumn("v", color.luminance()), "v", bands=1).groupBy("image_id", "y", "x").agg(F.sum("b").alias("v")), base.AT, ["v"]), sql.rounded(sql.add(tables.PART_IMAGES, {"v": sql.LUMA}), base.AT, ["v"]))
 register("phase_enlarge", lambda s, d: per_image(phase.enlarge(tables.part_images(s, d).withColumn("v", color.luminance()), 2.0), ("v",)))
 register("phase_enlarge_rgb", lambda s, d: per_image(phase.enlarge_rgb(tables.part_images(s, d), 2.0, keep_topology=False)))
+register(
+    "phase_report",
+    lambda s, d: phase.report(phase.reconstruct(tables.part_images(s, d), 2.0, "g")).select(
+        "image_id", "h", "w", "out_h", "out_w", *(F.round(c, 6).alias(c) for c in ("mean_coherence", "residual_energy", "suppressed_energy", "tau")), "suppressed_peaks", "restored_peaks", "matches", F.col("candidate.total").alias("total")
+    ),
+)
 register("peaks_of_parts", lambda s, d: topology.signature(topology.extrema(tables.part_images(s, d), "g").union(topology.extrema(tables.part_images(s, d), "g", "pit"))))
 def encoded_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of the part images as JPEG, PNG and TIFF files."""
