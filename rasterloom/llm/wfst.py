@@ -2,10 +2,11 @@
 
 The model's normaliser, its pieces and the byte fallback are compiled into a transducer. An arc reads the characters of
 a piece, writes its id and weighs its score with the sign changed; a character without a piece has an arc that writes its
-bytes and weighs FALLBACK. The model merges pairs by score, and the least sum of weights of arcs alone isn't its
-segmentation; so they are composed with an acceptor of neighbouring pieces: a piece may follow another only if the merges
+bytes and weighs FALLBACK. Of a unigram model the path of least weight is the segmentation, and nothing more is needed.
+A model that merges pairs by score has another: the least sum of weights of arcs alone isn't it; so they are composed with an acceptor of neighbouring pieces: a piece may follow another only if the merges
 of the two texts end in just those two pieces. A path of such arcs is the model's own segmentation: the first merge that
-crossed a border between two pieces would cross it in the text of these two alone too. The composition with a text is
+crossed a border between two pieces would cross it in the text of these two alone too. The acceptor leaves such a model
+one path for each text, so that there its weights don't decide. The composition with a text is
 relaxed place by place in the tropical semiring: sums along paths, the least where paths meet.
 
 No piece holds U+2581 after another character, so merges never cross such borders: texts fall into parts U+2581+ other*.
@@ -38,8 +39,6 @@ _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[\x00-@\[-`{-\x7f]"
 _BORDER = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 
 
-_NONE: dict = {}
-_UNKNOWN = object()
 
 
 def normaliser(normalize) -> tuple[str, dict[int, str]]:
@@ -56,11 +55,13 @@ def normaliser(normalize) -> tuple[str, dict[int, str]]:
 
 
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, int]], bytes_: list[int], prefix: str = SPACE, changed: dict[int, str] | None = None):
-        """pieces: (text, score, id); bytes_: the id of each of the 256 bytes; prefix and changed: the normaliser's."""
+    def __init__(self, pieces: list[tuple[str, float, int]], bytes_: list[int], prefix: str = SPACE, changed: dict[int, str] | None = None, merging: bool = True):
+        """pieces: (text, score, id); bytes_: the id of each of the 256 bytes; prefix and changed: the normaliser's; merging: whether pairs are merged by score."""
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces):
             raise ValueError("a piece holds U+2581 after another character")
-        self.pieces, self.bytes, self.prefix, self.changed = pieces, bytes_, prefix, changed or {32: SPACE}
+        self.pieces, self.bytes, self.prefix, self.changed, self.merging = pieces, bytes_, prefix, changed or {32: SPACE}, merging
+        #: What a character without a piece weighs; of a unigram model ten more than its rarest piece.
+        self.fallback = FALLBACK if merging or not pieces else 10 - min(s for _, s, _ in pieces)
         #: Whether no piece stands across a _BORDER.
         self.bordered = not any(_BORDER.search(p) for p, _, _ in pieces)
         self.score = {p: s for p, s, _ in pieces}
@@ -68,14 +69,16 @@ class Transducer:
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(bytes_)}
         #: What an arc writes, as 32-bit numbers.
         self.written = _Written({p: np.int32(i).tobytes() for p, i in self.ids.items()}, bytes_)
-        #: Lengths of the pieces of three characters and more by their first three, the longest first.
-        lengths: dict[str, set[int]] = {}
+        #: Lengths of the arcs that may begin with some four characters (or, where no piece does, three or two), the longest first.
+        starts: dict[str, set[int]] = {}
         for p, _, _ in pieces:
-            if len(p) > 2:
-                lengths.setdefault(p[:3], set()).add(len(p))
-        self.lengths = {k: tuple(sorted(v)) + (2, 1) for k, v in lengths.items()}
+            for j in range(2, min(len(p), 4) + 1):
+                starts.setdefault(p[:j], {1}).update(k for k in range(2, j + 1) if p[:k] in self.score)
+            if len(p) > 4:
+                starts[p[:4]].add(len(p))
+        self.starts = _Starts({k: tuple(sorted(v, reverse=True)) for k, v in starts.items()})
         #: By the piece before: the weight of an arc, or None if the acceptor refuses it.
-        self.composed: dict[str, dict[str, float | None]] = {}
+        self.composed = _Composed(self)
         self.known = 0
         self.merges: dict[str, tuple[list, list, list, bool]] = {}
         self.parts, self.sections = _Parts(self), _Sections(self)
@@ -89,10 +92,12 @@ class Transducer:
         names = [model.id_to_piece(i) for i in n]
         pieces = [(names[i], model.get_score(i), i) for i in n if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         place = {p: i for i, p in enumerate(names)}
-        return cls(pieces, [place[f"<0x{b:02X}>"] for b in range(256)], *normaliser(model.normalize))
+        # Scores of merges are their ranks; those of unigrams are logarithms.
+        merging = all(float(s).is_integer() for _, s, _ in pieces)
+        return cls(pieces, [place[f"<0x{b:02X}>"] for b in range(256)], *normaliser(model.normalize), merging)
 
     def __reduce__(self):
-        return Transducer, (self.pieces, self.bytes, self.prefix, self.changed)
+        return Transducer, (self.pieces, self.bytes, self.prefix, self.changed, self.merging)
 
     def merges_of(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
         """The merges that make a piece of its characters: their scores, the first and last parts before and after each, and whether one part is left.
@@ -118,14 +123,10 @@ class Transducer:
 
     def weight(self, last: str, arc: str) -> float | None:
         """The weight of an arc after a piece in the composition; None if there is no such arc or the acceptor refuses it."""
-        if self.known >= NEIGHBOURS:
-            self.composed.clear()
-            self.known = 0
         score = self.score.get(arc)
-        found = None if score is None and len(arc) > 1 or not self._stay_apart(last, arc) else FALLBACK if score is None else -score
-        self.composed.setdefault(last, {})[arc] = found
-        self.known += 1
-        return found
+        if score is None and len(arc) > 1 or self.merging and not self._stay_apart(last, arc):
+            return None
+        return self.fallback if score is None else -score
 
     def _stay_apart(self, a: str, b: str) -> bool:
         scores_b, first, _, whole = self.merges_of(b)
@@ -151,10 +152,10 @@ class Transducer:
     def shortest_path(self, part: str) -> list[str]:
         """The pieces (or single characters without a piece) on the path of least weight through a part.
 
-        A state is a place in the part and the piece that ends there. The segmentation of a text begins with that of each
+        A state is a place in the part and, if pairs are merged, the piece that ends there. The segmentation of a text begins with that of each
         text that it begins with up to a border, so the acceptor leaves one piece for each place, and a place is a state.
         """
-        n, score, lengths, composed = len(part), self.score, self.lengths, self.composed
+        n, score, starts, composed, merging = len(part), self.score, self.starts, self.composed, self.merging
         least: list[float | None] = [None] * (n + 1)
         arcs = [""] * (n + 1)
         least[0] = 0.0
@@ -162,18 +163,14 @@ class Transducer:
             sum_ = least[at]
             if sum_ is None:
                 continue
-            last = arcs[at]
-            after = composed.get(last, _NONE)
-            for k in lengths.get(part[at : at + 3], (2, 1)):
-                if at + k > n:
-                    continue
+            last = arcs[at] if merging else ""
+            after = composed[last]
+            for k in starts[part[at : at + 4]]:
                 to = at + k
+                if to > n:
+                    continue
                 arc = part[at:to]
-                w = after.get(arc, _UNKNOWN)
-                if w is _UNKNOWN:
-                    if k > 1 and arc not in score:
-                        continue
-                    w = self.weight(last, arc)
+                w = after[arc]
                 if w is not None:
                     w += sum_
                     old = least[to]
@@ -211,6 +208,47 @@ class _Written(dict):
         return np.array([self.bytes[b] for b in c.encode()], np.int32).tobytes()
 
 
+class _Starts(dict):
+    """Lengths of arcs by the next four characters; those of the model's own beginnings are given, others are remembered."""
+
+    def __init__(self, given: dict[str, tuple[int, ...]]):
+        super().__init__(given)
+        self.given = given
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        if len(self) >= NEIGHBOURS:
+            self.clear()
+        out = self[key] = self.given.get(key) or self.given.get(key[:3]) or self.given.get(key[:2], (1,))
+        return out
+
+
+class _Composed(dict):
+    """Weights of arcs by the piece before."""
+
+    def __init__(self, of: Transducer):
+        self.of = of
+
+    def __missing__(self, last: str) -> _After:
+        out = self[last] = _After(self.of, last)
+        return out
+
+
+class _After(dict):
+    """Weights of arcs after one piece."""
+
+    def __init__(self, of: Transducer, last: str):
+        self.of, self.last = of, last
+
+    def __missing__(self, arc: str) -> float | None:
+        of = self.of
+        if of.known >= NEIGHBOURS:
+            of.composed.clear()
+            of.known = 0
+        of.known += 1
+        out = self[arc] = of.weight(self.last, arc)
+        return out
+
+
 class _Parts(dict):
     """Ids of the parts met so far."""
 

@@ -74,3 +74,60 @@ def test_normaliser():
     assert wfst.normaliser(lambda s: "^" + "".join(table.get(c, c) for c in s)) == ("^", {ord(k): v for k, v in table.items()})
     with pytest.raises(ValueError):
         wfst.normaliser(lambda s: " ".join(s.split()))
+
+
+def least_sums(pieces, fallback, text):
+    """Every segmentation of a text with its sum of weights, the least first."""
+    out = []
+
+    def go(at, sum_, path):
+        if at == len(text):
+            out.append((sum_, path))
+            return
+        for k in range(1, len(text) - at + 1):
+            p = text[at : at + k]
+            if p in pieces:
+                go(at + k, sum_ - pieces[p], [*path, p])
+            elif k == 1:
+                go(at + k, sum_ + fallback, [*path, p])
+
+    go(0, 0.0, [])
+    return sorted(out)
+
+
+def test_weights_decide_for_unigrams():
+    """The path is that of the least sum of all segmentations, and other weights give other paths."""
+    r = random.Random(7)
+    names = sorted({"".join(r.choice("ab▁") for _ in range(r.randint(1, 6))) for _ in range(60)} - {"b"})
+    names = [n for n in names if "▁" not in n.lstrip("▁")]
+    bytes_ = list(range(1000, 1256))
+    make = lambda scores: wfst.Transducer([(n, s, i) for i, (n, s) in enumerate(zip(names, scores))], bytes_, merging=False)
+    right, other = make([-r.uniform(1, 9) for _ in names]), make([-r.uniform(1, 9) for _ in names])
+    changed = 0
+    for _ in range(150):
+        text = "".join(r.choice("ab ") for _ in range(r.randint(0, 9)))
+        ids = right.encode(text).tolist()
+        want = []
+        if text:
+            best = least_sums(right.score, right.fallback, "▁" + text.replace(" ", "▁"))
+            assert len(best) < 2 or best[1][0] > best[0][0]
+            for p in best[0][1]:
+                want += [right.ids[p]] if p in right.ids else [bytes_[b] for b in p.encode()]
+        assert ids == want, text
+        assert right.decode(right.encode(text)) == text
+        changed += ids != other.encode(text).tolist()
+    assert changed > 50
+    again = wfst.Transducer.__reduce__(right)
+    assert again[0](*again[1]).encode("abab").tolist() == right.encode("abab").tolist()
+
+
+def test_kind_of_the_model(both):
+    assert both[0].merging
+
+
+def test_very_long_texts(both):
+    t, model = both
+    r = random.Random(8)
+    for x in ["ab" * 40_000, "word " * 30_000, "".join(r.choice("abcdefgh ij.,0é") for _ in range(120_000))]:
+        ids = t.encode(x)
+        assert ids.tolist() == model.encode(x) and t.decode(ids) == x
