@@ -3,7 +3,8 @@
 A frame along x needs the pixels of a row together, one along y those of a column. All columns that need means share
 one window, and means along different axes can change places: all passes along one axis run before those along the
 other, and the second half of a guided filter starts with the axis on which the first ended. A blur takes two exchanges and a
-guided filter three, however many channels and passes there are; none where whole images lie together (by_image).
+guided filter three, however many channels and passes there are; none where whole images lie together (by_image). Lines too
+long for one task are cut into blocks (block=..., see scans), for an exchange a pass.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.color import clip01, rgb_to_ycbcr, ycbcr_to_rgb
 from rasterloom.functions.sizing import box_radius
+from rasterloom.operators import scans
 
 
 def by_image(df: DataFrame) -> DataFrame:
@@ -34,32 +36,39 @@ def _box_axis(df: DataFrame, values: list[str], radius: int, along: str, across:
     return df.withColumns({c: mean(c) for c in values})
 
 
-def box_blur(df: DataFrame, values: list[str], radius: int, passes: int = 1, axes: str = "yx") -> DataFrame:
-    """Mean over a square, passes times; a radius below 1 changes nothing. axes: the order of axes, which only moves exchanges."""
+def box_blur(df: DataFrame, values: list[str], radius: int, passes: int = 1, axes: str = "yx", block: int | None = None) -> DataFrame:
+    """Mean over a square, passes times; a radius below 1 changes nothing. axes: the order of axes, which only moves exchanges.
+
+    block: lines are cut into blocks of so many pixels, so that neither a long line nor a wide radius makes a large task.
+    """
     for axis in axes if radius >= 1 else "":
+        line = ("y", "x", "h") if axis == "y" else ("x", "y", "w")
+        if block is not None:
+            df = scans.box(df, values, radius, passes, *line, block)
+            continue
         for _ in range(passes):
-            df = _box_axis(df, values, radius, "y", "x", "h") if axis == "y" else _box_axis(df, values, radius, "x", "y", "w")
+            df = _box_axis(df, values, radius, *line)
     return df
 
 
-def gaussian_blur(df: DataFrame, values: list[str], sigma: float) -> DataFrame:
+def gaussian_blur(df: DataFrame, values: list[str], sigma: float, block: int | None = None) -> DataFrame:
     """Three passes of a box; sigma at or below 0 changes nothing."""
-    return box_blur(df, values, box_radius(sigma), 3) if sigma > 0 else df
+    return box_blur(df, values, box_radius(sigma), 3, block=block) if sigma > 0 else df
 
 
-def guided_filter(df: DataFrame, guides: list[str], sources: list[str], radius: int, eps: float) -> DataFrame:
+def guided_filter(df: DataFrame, guides: list[str], sources: list[str], radius: int, eps: float, block: int | None = None) -> DataFrame:
     """Each source smoothed where its guide is flat; results replace the sources."""
     pairs = list(zip(guides, sources, strict=True))
     need = {}
     for i, (g, s) in enumerate(pairs):
         need |= {f"__i{i}": F.col(g), f"__p{i}": F.col(s), f"__ii{i}": F.col(g) * F.col(g), f"__ip{i}": F.col(g) * F.col(s)}
-    df = box_blur(df.withColumns(need), list(need), radius)
+    df = box_blur(df.withColumns(need), list(need), radius, block=block)
     lines = {}
     for i, _ in enumerate(pairs):
         mi, mp = F.col(f"__i{i}"), F.col(f"__p{i}")
         a = (F.col(f"__ip{i}") - mi * mp) / (F.col(f"__ii{i}") - mi * mi + eps)
         lines |= {f"__a{i}": a, f"__b{i}": mp - a * mi}
-    df = box_blur(df.withColumns(lines).drop(*need), list(lines), radius, axes="xy")
+    df = box_blur(df.withColumns(lines).drop(*need), list(lines), radius, axes="xy", block=block)
     return df.withColumns({s: F.col(f"__a{i}") * F.col(g) + F.col(f"__b{i}") for i, (g, s) in enumerate(pairs)}).drop(*lines)
 
 

@@ -100,6 +100,18 @@ SELECT CAST(0 AS BIGINT) AS image_id, 64 AS h, 64 AS w, CAST(event_id % 64 AS IN
 FROM events GROUP BY event_id % 64, user_id % 64"""
 
 
+def event_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line of all events in the order of event_id (0, 1, ...): an image of height 1."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("x"), F.col("value").alias("v"))
+    size = F.broadcast(e.agg((F.max("x") + 1).alias("w")))
+    return e.join(size).select(F.lit(0).cast("long").alias("image_id"), F.lit(1).alias("h"), "w", F.lit(0).alias("y"), "x", "v")
+
+
+EVENT_LINE = """
+SELECT CAST(0 AS BIGINT) AS image_id, 1 AS h, (SELECT CAST(max(event_id) + 1 AS INT) FROM events) AS w, 0 AS y, CAST(event_id AS INT) AS x, value AS v
+FROM events"""
+
+
 def synthetic(spark: SparkSession, size: int) -> DataFrame:
     """A generated image: ramps, a product of waves and a checker of 5 pixels; no input is read."""
     s = spark.range(size * size).select((F.col("id") / size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
