@@ -1,4 +1,4 @@
-"""python -m rasterloom.cli upscale|batch|capabilities|benchmark: exit codes 0 done, 1 some failed, 2 wrong settings."""
+"""python -m rasterloom.cli upscale|batch|capabilities|models|benchmark: exit codes 0 done, 1 some failed, 2 wrong settings."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import statistics
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import models
@@ -31,6 +31,10 @@ def parser() -> argparse.ArgumentParser:
         for flag, kind in (("scale", float), ("width", int), ("height", int), ("longest-side", int), ("backend", str), ("detail", float), ("sharpen", float), ("denoise", float), ("gamma", float), ("contrast", float), ("saturation", float)):
             c.add_argument(f"--{flag}", type=kind)
     sub.add_parser("capabilities")
+    c = sub.add_parser("models")
+    c.add_argument("action", choices=("list", "usage"))
+    c.add_argument("--folder", required=True)
+    c.add_argument("--json", action="store_true")
     c = sub.add_parser("benchmark")
     c.add_argument("--size", type=int, default=256)
     c.add_argument("--scale", type=float, default=2.0)
@@ -69,6 +73,22 @@ def capabilities() -> dict:
     return {"backends": sorted(BACKENDS), "providers": providers, "presets": sorted(PRESETS), "aliases": models.PROVIDERS}
 
 
+def model_list(spark: SparkSession, folder: str) -> list[dict]:
+    """The catalogue in the order of names, with the files in folder that each model has, and whether there is any."""
+    found = models.presence(models.catalogue(spark), _files(spark, folder))
+    found = found.withColumn("present", F.col("onnx").isNotNull() | F.col("weights").isNotNull())
+    return [r.asDict() for r in found.orderBy("name").collect()]  # as many rows as the catalogue has
+
+
+def model_usage(spark: SparkSession, folder: str) -> dict:
+    return models.disk_usage(_files(spark, folder)).first().asDict()
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below folder; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
 def benchmark(spark: SparkSession, size: int, scale: float, repeat: int) -> dict:
     took = []
     for _ in range(repeat):
@@ -91,6 +111,13 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
+    if ns.command == "models":
+        if ns.action == "usage":
+            print(json.dumps(model_usage(spark, ns.folder)))
+            return 0
+        rows = model_list(spark, ns.folder)
+        print(json.dumps(rows, indent=2) if ns.json else "\n".join(f"[{'x' if r['present'] else ' '}] {r['name']:<20} x{r['scale']} {r['arch']}" for r in rows))
+        return 0
     if ns.command == "benchmark":
         print(json.dumps(benchmark(spark, ns.size, ns.scale, ns.repeat)))
         return 0
