@@ -54,7 +54,7 @@ def test_source_rows(spark):
     assert px.withColumn("v", color.luminance()).select(luma.columns).exceptAll(luma).count() == 0
 
 
-@pytest.mark.parametrize("name", ["phase_enlarge", "phase_enlarge_rgb"])
+@pytest.mark.parametrize("name", ["phase_enlarge", "phase_enlarge_rgb", "phase_report"])
 def test_no_shuffle_of_pixels(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") <= 2, plan  # parts are dealt out, and partial results of images
