@@ -51,6 +51,10 @@ def test_alpha_resample(spark):
     lean(spark, "alpha_resample")
 
 
+def test_phase_transport(spark):
+    lean(spark, "phase_transport")
+
+
 def test_rows_of_several_sizes(spark):
     sizes = [(0, 3, 5), (1, 1, 1), (2, 3, 5), (3, 7, 2)]
     rows = spark.createDataFrame([(i, h, w, *([((k * (i + 3 + c)) % 11) / 11 for k in range(h * w)] for c in range(3))) for i, h, w in sizes], "image_id long, h int, w int, r array<double>, g array<double>, b array<double>").coalesce(1)
