@@ -51,6 +51,10 @@ def test_alpha_resample(spark):
     lean(spark, "alpha_resample")
 
 
+def test_auto_levels(spark):
+    lean(spark, "auto_levels")
+
+
 def test_phase_transport(spark):
     lean(spark, "phase_transport")
 
