@@ -55,6 +55,10 @@ def test_auto_levels(spark):
     lean(spark, "auto_levels")
 
 
+def test_dft_rows(spark):
+    lean(spark, "dft_rows")
+
+
 def test_phase_transport(spark):
     lean(spark, "phase_transport")
 
