@@ -2,7 +2,7 @@
 
 import pytest
 
-from rasterloom.operators import kernels, neighbourhood, resample, tilework
+from rasterloom.operators import kernels, neighbourhood, resample, tilework, topology
 from rasterloom.plans import catalogue, catalogue_jobs, catalogue_more, pipeline  # noqa: F401
 from rasterloom.sources import tables
 
@@ -63,6 +63,17 @@ def test_phase_transport(spark):
     lean(spark, "phase_transport")
 
 
+def test_peaks_of_parts(spark):
+    px, rows = tables.part_images(spark, SF), tables.part_rows(spark, SF)
+    for kind in ("peak", "pit"):
+        names = ["image_id", "kind", "y", "x", "value", "persistence", "factor"]
+        got, want = (topology.extrema(d, "g", kind).select(names) for d in (rows, px))
+        assert want.count() == got.count() > 0 and want.exceptAll(got).count() == 0
+    with pytest.raises(Exception, match="aren't pooled"):
+        topology.extrema(rows, "g", most=63).collect()
+    assert "ty#" not in plan(spark, "peaks_of_parts")  # pixels were dealt out by tile
+
+
 def test_rows_of_several_sizes(spark):
     sizes = [(0, 3, 5), (1, 1, 1), (2, 3, 5), (3, 7, 2)]
     rows = spark.createDataFrame([(i, h, w, *([((k * (i + 3 + c)) % 11) / 11 for k in range(h * w)] for c in range(3))) for i, h, w in sizes], "image_id long, h int, w int, r array<double>, g array<double>, b array<double>").coalesce(1)
