@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -62,3 +63,16 @@ def test_hot_rows_are_whole(spark):
     assert len(lines) == 240 and sum(bool(r.text) for r in lines if r.doc_id % 3 == 0) == 1
     cut = repeats.remove_repeats(df, 100).collect()
     assert len(cut) == 240 and all(r.n_removed >= len(text) - 100 for r in cut)
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    there, mode = files(), spark.conf.get(common.TIDY, None)
+    out = common.saved(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count(), "tidy")
+    until = time.time() + 20
+    while files() - there and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - there and out.count() == 700 and spark.conf.get(common.TIDY, None) == mode
