@@ -1,10 +1,11 @@
 """Queries over images that are rows of arrays: pixels are neither shuffled nor sorted, whatever the number of parts."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from rasterloom.operators import kernels, neighbourhood, resample, tilework, topology
+from rasterloom.operators import kernels, neighbourhood, resample, tilework, tiling, topology
 from rasterloom.plans import catalogue, catalogue_jobs, catalogue_more, pipeline  # noqa: F401
-from rasterloom.sources import tables
+from rasterloom.sources import encode, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +85,34 @@ def test_rows_of_several_sizes(spark):
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert kernels.MOST > tilework.STACK
+
+
+@pytest.mark.parametrize("fmt", ["PNG", "JPEG", "TIFF"])
+def test_encoded_rows(spark, fmt):
+    rows = tables.part_rows(spark, SF, 12)
+    for strip in (encode.STRIP, 96):
+        got, want = ({f.image_id: (f.format, bytes(f.content), f.error) for f in encode.encode(d, fmt, strip=strip).collect()} for d in (rows, tilework.as_pixels(rows, ["r", "g", "b", "a"])))
+        assert got == want and got
+    with pytest.raises(ValueError):
+        encode.encode(rows, fmt, gray=True)
+
+
+def test_encoded_headers(spark):
+    found = plan(spark, "encoded_headers")
+    assert "ObjectHashAggregate" not in found and "Sort " not in found, found
+
+
+@pytest.mark.parametrize("name", ["feather_blend", "tiled_equals_whole"])
+def test_blended_rows(spark, name):
+    lean(spark, name)
+
+
+def test_blended_rows_equal_blend(spark):
+    rows = tables.part_rows(spark, SF, 13)
+    px = tilework.as_pixels(rows, ["r", "g"])
+    for tile, overlap in ((6, 2), (5, 1), (4, 3), (0, 2), (20, 2)):
+        shade = tiling.cut_fixed(px, tile, overlap).withColumns({c: F.col(c) + 0.01 * (F.col("tx") + 2 * F.col("ty")) for c in ("r", "g")})
+        want = {(p.image_id, p.y, p.x): (p.r, p.g) for p in tiling.blend(shade, ["r", "g"], overlap).collect()}
+        done = tiling.blended_rows(rows, ["r", "g"], tile, overlap, lambda v, ty, tx: v + 0.01 * (tx + 2 * ty))
+        got = {(p.image_id, p.y, p.x): (p.r, p.g) for p in tilework.as_pixels(done, ["r", "g"]).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
