@@ -36,3 +36,8 @@ def test_restore_looks_as_far_as_the_pooling_moves_peaks(spark):
     assert peaks.first().factor == 10
     same = topology.restore(a, peaks, "v", tau).join(a.withColumnRenamed("v", "was"), ["image_id", "y", "x"])
     assert same.select(F.max(F.abs(F.col("v") - F.col("was")))).first()[0] < 1e-12
+
+
+def test_rounds_over_tiles_are_not_broadcast(spark):
+    px = spark.range(40 * 40).selectExpr("0L AS image_id", "40 AS h", "40 AS w", "CAST(id DIV 40 AS INT) AS y", "CAST(id % 40 AS INT) AS x", "CAST(hash(id) % 1000 AS DOUBLE) AS v")
+    assert "SortMergeJoin" in topology.minima(px, "v", 100)._jdf.queryExecution().executedPlan().toString()
