@@ -32,3 +32,13 @@ def test_target_size_keeps_alpha_and_backend(spark):
 def test_max_pixels_without_target_size(spark):
     px = picture(spark, [(10, 10)])
     assert sizes_of(pipeline.enhance(px, pipeline.Options(scale=4.0, detail=0.0, max_pixels=400))) == {0: (20, 20)}
+
+
+def test_tiles_are_as_wide_as_their_margins(spark, monkeypatch):
+    from rasterloom.operators import tilework
+
+    seen, cut = [], tilework.cut_with_margin
+    monkeypatch.setattr(tilework, "cut_with_margin", lambda *a: seen.append(cut(*a)) or seen[-1])
+    px = spark.range(400 * 8).selectExpr("0L AS image_id", "400 AS h", "8 AS w", "CAST(id DIV 8 AS INT) AS y", "CAST(id % 8 AS INT) AS x", "0.1D AS r", "0.2D AS g", "0.3D AS b")
+    pipeline.enhance(px, pipeline.with_options("quality", scale=2.0, tile=16, auto_levels=0.0))
+    assert 400 * 8 < seen[-1].count() <= 3 * 400 * 8
